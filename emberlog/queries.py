@@ -1,0 +1,4 @@
+"""Registered queries of the detection engine."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
