@@ -8,12 +8,12 @@ No bucket is ever expanded into all its pairs:
   promising is chosen and verified on full sets.  That gives first components.
 * *The rest.*  A bucket whose nodes are all in one component has nothing left to find.  In the others, nodes
   outside the bucket's largest component meet every node of the bucket, in blocks of bounded
-  size; pairs of different components whose minima agree well enough, in the first band that they
-  share, are verified on full sets.  So every pair of a bucket is in one component or was tested.
+  size; pairs of different components whose minima agree well enough are verified there on full sets, in
+  the first band that they share.  So every pair of a bucket is in one component or was tested.
 Links are confirmed on the words themselves: 100 * intersection >= threshold * union.
 
 A pair at the threshold 0.8 misses all 32 bands of 5 minima with probability 3e-6, and falls below the
-agreement asked for (0.62 of 160 minima) with less than 1e-7.
+agreement asked for (0.64 of 160 minima) with about 1e-6.
 
 Defined results: null and empty texts have an empty set, link with nothing, and stay; a text with fewer
 words than a shingle has itself as its one shingle; copies link whatever their number; component_id is the
@@ -39,9 +39,9 @@ from .words import LOWER, U, Words, chunks, mix
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Share of equal minima from which a pair is verified.
-AGREE = 0.62
-#: Nodes of a bucket that one task holds at a time.
-BLOCK = 1024
+AGREE = 0.64
+#: Nodes of a bucket that one task holds at a time, and their packed bytes.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
 _RNG = np.random.RandomState(11)
 _A = (_RNG.randint(0, 1 << 62, HASHES).astype(U) << U(1)) | U(1)
@@ -125,13 +125,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, 4096):
             part = b.slice(k, 4096)
-            m = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in part.column(1)]).reshape(-1, BANDS, ROWS).astype(U)
+            m = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(U)
             h = np.broadcast_to(salt, m.shape[:2]).copy()
             for r in range(ROWS):
                 h = mix(h * U(0x9FB21C651E98DF25) + m[:, :, r])
             keys = part.column(0).to_pylist()
             which = np.tile(np.arange(BANDS, dtype=np.int8), len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(which), pa.array([x for x in keys for _ in range(BANDS)], pa.binary())], names=["band", "which", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(which), pa.array([x for x in keys for _ in range(BANDS)], pa.binary()), pa.array(np.repeat(part.column(2).to_numpy(), BANDS))], names=["band", "which", "node", "zlen"])
 
 
 def shingle_set(raw: bytes, size: int) -> set:
@@ -174,38 +174,65 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((m == c).sum(axis=1).astype(np.int32))], names=["node", "centre", "agree"])
 
 
-def _rest(key, table):
-    """Pairs to verify of one block: its nodes against those of the bucket that are outside the largest component."""
-    band = np.array(table.column("place").to_pylist())
-    node, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
-    m = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint32).reshape(-1, HASHES)
-    names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-    cid = np.array([names[c] for c in comp])
-    outside, inside = np.flatnonzero(band < 0), np.flatnonzero(band >= 0)
-    which = table.column("which")[0].as_py()
-    u, v = [], []
-    byband = m.reshape(-1, BANDS, ROWS)
-    for i in outside.tolist():
-        other = inside[cid[inside] != cid[i]]
-        if not len(other):
-            continue
-        other = other[(m[other] == m[i]).sum(axis=1) >= AGREE * HASHES]
-        for j in other.tolist():
-            shared_bands = np.flatnonzero((byband[i] == byband[j]).all(axis=1))
-            if len(shared_bands) and shared_bands[0] == which:
-                u.append(max(node[i], node[j]))
-                v.append(min(node[i], node[j]))
-    out = pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
-    return out.group_by(["u", "v"]).aggregate([]) if len(out) else out
+def _rest(size: int, percent: int):
+    """Links of one block: its nodes against those of the bucket that are outside the largest component.
+
+    The most promising pairs come first, and what they join isn't tested again, so at most one link for
+    each component of the block is given, and a group of any size gives few rows.
+    """
+
+    def run(key, table):
+        place = table.column("place").to_numpy()
+        node, comp, packed = (table.column(c).to_pylist() for c in ("node", "comp", "ztext"))
+        m = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint32).reshape(-1, HASHES)
+        names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
+        cid = np.array([names[c] for c in comp])
+        label = np.arange(len(names))  # of components; changes as links join them
+        outside, inside = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        which = table.column("which")[0].as_py()
+        mi, byband = m[inside], m.reshape(-1, BANDS, ROWS)
+        z, sets, held = zstandard.ZstdDecompressor(), {}, 0
+
+        def words(i: int) -> set:
+            nonlocal held
+            s = sets.get(node[i])
+            if s is None:
+                s = shingle_set(z.decompress(packed[i]), size)
+                held += len(s)
+                if held > 1_000_000:
+                    sets.clear()
+                    held = len(s)
+                sets[node[i]] = s
+            return s
+
+        u, v = [], []
+        for i in outside.tolist():
+            agree = (mi == m[i]).sum(axis=1)
+            near = np.flatnonzero((agree >= AGREE * HASHES) & (label[cid[inside]] != label[cid[i]]))
+            for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+                j = int(inside[j])
+                if label[cid[i]] == label[cid[j]]:
+                    continue
+                if np.flatnonzero((byband[i] == byband[j]).all(axis=1))[0] != which:
+                    continue  # tested in the first band that the two share
+                s, t = words(i), words(j)
+                both = len(s & t)
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    u.append(node[i])
+                    v.append(node[j])
+                    label[label == label[cid[j]]] = label[cid[i]]
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return run
 
 
 def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspace) -> DataFrame:
     """signed rows to (node, root) of all sets that link with another."""
     full = signed.where(F.col("minima").isNotNull())
-    nodes = work.keep(full.select("set_key", "minima").dropDuplicates(["set_key"]))
-    banded = nodes.mapInArrow(_bands, "band long, which tinyint, node binary")
+    nodes = work.keep(full.select("set_key", "minima", F.length("ztext").alias("zlen")).dropDuplicates(["set_key"]))
+    banded = nodes.mapInArrow(_bands, "band long, which tinyint, node binary, zlen int")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where(F.col("n") > 1)
-    members = work.keep(banded.join(sizes.select("band", "centre"), "band").select("band", "which", "node", "centre"))
+    members = work.keep(banded.join(sizes.select("band", "centre"), "band").select("band", "which", "node", "zlen", "centre"))
     near = members.select("node").distinct()
     texts = work.keep(full.select("set_key", "ztext").join(near.withColumnRenamed("node", "set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]))
 
@@ -222,16 +249,17 @@ def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspa
     links = work.keep(confirmed(best))
     first = components(links, work)
     # buckets that still hold several components
-    labelled = work.keep(members.join(first, "node", "left").select("band", "which", "node", F.coalesce("root", "node").alias("comp")))
-    groups = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_buckets = groups.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most")).where(F.col("c") > 1).select("band", F.col("n").alias("size"), F.col("most.comp").alias("most"))
-    left = labelled.join(open_buckets, "band").join(nodes.withColumnRenamed("set_key", "node"), "node")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("place", F.lit(0))
-    outside = left.where(F.col("comp") != F.col("most")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("place", F.lit(-1))
-    dealt = own.unionByName(outside).select("band", "block", "which", "node", "comp", "minima", "place")
-    pairs = dealt.groupBy("band", "block").applyInArrow(_rest, "u binary, v binary").distinct()
-    more = work.keep(confirmed(pairs))
+    labelled = work.keep(members.join(first, "node", "left").select("band", "which", "node", "zlen", F.coalesce("root", "node").alias("comp")))
+    groups = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("zlen").cast("long")).alias("bytes"))
+    open_buckets = groups.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "comp")).alias("most")).where(F.col("c") > 1)
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    open_buckets = open_buckets.select("band", blocks.alias("blocks"), F.col("most.comp").alias("most"))
+    payload = nodes.select(F.col("set_key").alias("node"), "minima").join(texts.withColumnRenamed("set_key", "node"), "node")
+    left = labelled.join(open_buckets, "band").join(payload, "node")
+    own = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("place", F.lit(0))
+    outside = left.where(F.col("comp") != F.col("most")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("place", F.lit(-1))
+    dealt = own.unionByName(outside).select("band", "block", "which", "node", "comp", "minima", "ztext", "place")
+    more = work.keep(dealt.groupBy("band", "block").applyInArrow(_rest(size, percent), "u binary, v binary").distinct())
     return components(links.unionByName(more), work)
 
 
