@@ -1,4 +1,571 @@
-"""Registered queries of the detection engine."""
+"""Registered queries of the detection engine over the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import predicates as P
+from .functions import transforms as X
+from .functions.fields import JsonEvents, TypedEvents, basename_lower
+from .operators import correlate, detect, proctree, views
+from .plans.compiler import compile_rules
+from .plans.ir import EngineConfig, Primitive, Ruleset
+from .sources import feeds
+from .sources.store import latest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def as_of() -> Column:
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def primitive_query(name: str, table: str, key: str, primitive: Primitive, sql: str, fields: dict | None = None, advanced: bool = False, json: str | None = None) -> None:
+    """One predicate over every row of a table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .functions.registry import Registry
+
+        df = read(spark, sf_dir, table)
+        e = JsonEvents(json) if json else TypedEvents(df, fields)
+        engine = detect.Engine(Ruleset([primitive]), e, registry=Registry(advanced=advanced))
+        return df.select(key, engine.primitive(primitive).alias("hit"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT {key}, coalesce({sql}, false) AS hit FROM {table}"
+
+
+primitive_query("match_equals", "events", "event_id", Primitive("event_type", "equals", ("CLICK", "Error")), "lower(event_type) IN ('click','error')")
+primitive_query("match_equals_cased", "events", "event_id", Primitive("event_type", "equals", ("CLICK", "error"), ("case_sensitive",)), "event_type IN ('CLICK','error')")
+primitive_query("match_equals_wildcard_literal", "events", "event_id", Primitive("event_type", "equals", ("cl*",)), "lower(event_type) = 'cl*'")
+primitive_query("match_equals_number", "events", "event_id", Primitive("k", "equals", ("5", "17")), "json_extract_string(props, '$.k') IN ('5','17')", json="props")
+primitive_query("match_nested_absent", "events", "event_id", Primitive("a.k", "equals", ("5",)), "json_extract_string(props, '$.a.k') = '5'", json="props")
+primitive_query("match_contains_any", "pages", "page_id", Primitive("url", "contains", ("/1", "EXAMPLE.ORG")), "contains(lower(url), '/1') OR contains(lower(url), 'example.org')")
+primitive_query("match_contains_all", "documents", "doc_id", Primitive("text", "contains", ("the ", "of "), ("all",)), "contains(lower(text), 'the ') AND contains(lower(text), 'of ')")
+primitive_query("match_startswith", "documents", "doc_id", Primitive("text", "startswith", ("the", "and ")), "starts_with(lower(text), 'the') OR starts_with(lower(text), 'and ')")
+primitive_query("match_endswith", "pages", "page_id", Primitive("url", "endswith", ("5", ".HTML")), "ends_with(lower(url), '5') OR ends_with(lower(url), '.html')")
+primitive_query("match_regex", "pages", "page_id", Primitive("url", "regex", (r"/[a-z]*[0-9]*[02468]$", r"^https?://[^/]+\.org")), r"regexp_matches(url, '/[a-z]*[0-9]*[02468]$') OR regexp_matches(url, '^https?://[^/]+\.org')")
+primitive_query("match_regex_bad_pattern_stops", "pages", "page_id", Primitive("url", "regex", ("1", "(", "2")), "regexp_matches(url, '1')")
+primitive_query("match_range", "lineitem", "l_orderkey", Primitive("l_quantity", "range", ("5-10", "45-50")), "l_quantity BETWEEN 5 AND 10 OR l_quantity BETWEEN 45 AND 50")
+primitive_query("match_range_advanced", "lineitem", "l_orderkey", Primitive("l_quantity", "range", ("5...7", ">=49", "20..21")), "(l_quantity >= 5 AND l_quantity < 7) OR l_quantity >= 49 OR l_quantity BETWEEN 20 AND 21", advanced=True)
+primitive_query("match_range_negative", "customer", "c_custkey", Primitive("c_acctbal", "range", ("-500-100.5",)), "c_acctbal BETWEEN -500 AND 100.5", advanced=True)
+primitive_query("match_fuzzy", "part", "p_partkey", Primitive("p_brand", "fuzzy", ("Brand#12",)), "CASE WHEN p_brand = 'Brand#12' THEN 1.0 ELSE 1 - levenshtein(p_brand, 'Brand#12') / greatest(length(p_brand), 8) END >= 0.8")
+primitive_query("match_fuzzy_threshold", "part", "p_partkey", Primitive("p_type", "fuzzy", ("STANDARD BRASS",), ("threshold:0.5",)), "CASE WHEN p_type = 'STANDARD BRASS' THEN 1.0 ELSE 1 - levenshtein(p_type, 'STANDARD BRASS') / greatest(length(p_type), 14) END >= 0.5")
+primitive_query("match_any_field", "nation", "n_nationkey", Primitive("*any*", "equals", ("FRANCE", "3", "nation_7")), "list_contains([lower(CAST(n_nationkey AS VARCHAR)), lower(n_name), CAST(n_regionkey AS VARCHAR)], 'france') OR list_contains([CAST(n_nationkey AS VARCHAR), CAST(n_regionkey AS VARCHAR)], '3') OR lower(n_name) = 'nation_7'")
+primitive_query("match_any_field_json", "events", "event_id", Primitive("*any*", "equals", ("42",)), "json_extract_string(props, '$.k') = '42'", json="props")
+primitive_query("match_unknown_type_is_exact", "events", "event_id", Primitive("event_type", "sounds", ("VIEW",)), "lower(event_type) = 'view'")
+
+_IP = "concat_ws('.', 10, (event_id // 65536) % 256, (event_id // 256) % 256, event_id % 256)"
+
+
+@query(f"SELECT event_id, {_IP} LIKE '10.0.1.%' OR {_IP} IN ('10.0.0.4','10.0.0.5','10.0.0.6','10.0.0.7') AS hit FROM events")
+def match_cidr_v4(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    ip = F.concat_ws(".", F.lit("10"), *[(F.shiftright("event_id", s) % 256).cast("string") for s in (16, 8, 0)])
+    return df.select("event_id", P.two_valued(P.cidr(ip, ["10.0.1.0/24", "10.0.0.4/30"])).alias("hit"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS hit FROM events")
+def match_cidr_v6(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    ip = F.concat(F.when(F.col("event_id") % 3 == 0, F.lit("2001:db8::")).otherwise(F.lit("2001:db9::")), F.hex("event_id"))
+    return df.select("event_id", P.two_valued(P.cidr(ip, ["2001:db8::/32"])).alias("hit"))
+
+
+RULES = """
+title: Errors
+id: 00000000-aaaa-0000-0000-000000000001
+name: errors
+level: high
+detection:
+  selection: {event_type: error}
+  condition: selection
+---
+title: Purchases with a small key
+name: small_purchase
+level: low
+detection:
+  selection: {event_type: purchase}
+  small: {k|range: 0-20}
+  condition: selection and small
+---
+title: Views or clicks but not of key 7 to 9
+name: not_seven
+level: informational
+detection:
+  selection_a: {event_type: view}
+  selection_b: {event_type|startswith: CLI}
+  filter: {k: [7, 8, 9]}
+  condition: 1 of selection_* and not filter
+---
+title: Every selection
+name: every
+detection:
+  sel_one: {event_type|contains: [r, o]}
+  sel_two: {k|endswith: '5'}
+  condition: all of sel_*
+---
+title: List of maps
+name: listed
+level: critical
+detection:
+  sel:
+    - event_type: signup
+    - {event_type: view, k: 3}
+  condition: sel
+---
+title: Counted pattern, the count isn't looked at
+name: counted
+detection:
+  p1: {event_type: error}
+  p2: {k: 11}
+  condition: 2 of p*
+---
+title: Them
+name: them
+detection:
+  a: {k: 1}
+  b: {k: 2}
+  condition: 1 of them
+---
+title: Gate
+name: gated
+logsource: {product: windows}
+detection:
+  a: {k: 1}
+  condition: not a
+---
+title: Keyword
+name: keyword
+detection:
+  words: ['99']
+  condition: words
+---
+title: Upper-case operators end the condition
+name: upper
+detection:
+  a: {event_type: click}
+  b: {k: 1000}
+  condition: a AND b
+"""
+
+_K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
+#: The rules' meaning in SQL, by number.
+RULE_SQL = {
+    1: "lower(event_type) = 'error'",
+    2: f"lower(event_type) = 'purchase' AND {_K} BETWEEN 0 AND 20",
+    3: f"(lower(event_type) = 'view' OR starts_with(lower(event_type), 'cli')) AND NOT coalesce({_K} IN (7,8,9), false)",
+    4: "(contains(lower(event_type), 'r') OR contains(lower(event_type), 'o')) AND ends_with(json_extract_string(props, '$.k'), '5')",
+    5: f"lower(event_type) = 'signup' OR (lower(event_type) = 'view' AND {_K} = 3)",
+    6: f"lower(event_type) = 'error' OR {_K} = 11",
+    7: f"{_K} IN (1, 2)",
+    8: "false",
+    9: f"{_K} = 99",
+    10: "lower(event_type) = 'click'",
+}
+_MATCHES = " UNION ALL ".join(f"SELECT event_id, CAST({i} AS INTEGER) AS rule_id FROM events WHERE {s}" for i, s in RULE_SQL.items())
+CORRELATIONS = """
+title: Many errors of a user
+name: many_errors
+level: high
+correlation: {type: value_count, rules: [errors], group-by: [user_id], timespan: 72h, condition: {gte: 3}}
+---
+name: everywhere
+correlation: {type: value_count, rules: [errors, listed], group-by: [missing], timespan: '30', condition: {gte: 4}}
+---
+name: silent
+correlation: {type: event_count, rules: [errors], group-by: [user_id], timespan: 1h, condition: {gte: 1}}
+"""
+
+
+def fields_of(df: DataFrame) -> TypedEvents:
+    """Columns of the events table, and the key inside props."""
+    names: dict = {c: c for c in ("event_id", "user_id", "event_type", "value")}
+    return TypedEvents(df, names | {"k": F.get_json_object("props", "$.k")})
+
+
+def engine_for(df: DataFrame, text: str = RULES, config: EngineConfig | None = None) -> detect.Engine:
+    return detect.Engine(compile_rules([text]), fields_of(df), config)
+
+
+@query("SELECT event_id, array_to_string(list_sort(list(rule_id)), ',') AS matched FROM (" + _MATCHES + ") GROUP BY event_id")
+def rules_matched(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    engine = engine_for(df)
+    # event_id and value are scalars too: the keyword would also find them
+    engine.fields.names.pop("event_id"), engine.fields.names.pop("value"), engine.fields.names.pop("user_id")
+    return df.select("event_id", engine.matched().alias("m")).where(F.size("m") > 0).select("event_id", F.array_join("m", ",").alias("matched"))
+
+
+@query(_MATCHES.replace(f" UNION ALL SELECT event_id, CAST(9 AS INTEGER) AS rule_id FROM events WHERE {RULE_SQL[9]}", ""))
+def rules_exploded_join_plan(spark, sf_dir):
+    """The plan for large rulesets, forced."""
+    df = read(spark, sf_dir, "events")
+    text = "---".join(t for t in RULES.split("---") if "name: keyword" not in t)
+    engine = engine_for(df, text.replace("title: Upper-case", "id: 10\ntitle: Upper-case"), EngineConfig(projection_rules=1))
+    return engine.matches(df).select("event_id", F.col("rule_id").cast("int").alias("rule_id"))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, detect.Engine]:
+    df = read(spark, sf_dir, "events")
+    engine = engine_for(df)
+    for n in ("event_id", "value", "user_id"):
+        engine.fields.names.pop(n)
+    return df.withColumn("matched", engine.matched()), engine
+
+
+_META = "(VALUES (1,'Errors','high'),(2,'Purchases with a small key','low'),(3,'Views or clicks but not of key 7 to 9','informational'),(4,'Every selection','medium'),(5,'List of maps','critical'),(6,'Counted pattern, the count isn''t looked at','medium'),(7,'Them','medium'),(9,'Keyword','medium'),(10,'Upper-case operators end the condition','medium')) AS m(rule_id, rule_name, severity)"
+
+
+@query(f"SELECT x.event_id, x.rule_id, m.rule_name, m.severity, CAST(0.7 AS DOUBLE) AS confidence FROM ({_MATCHES}) x JOIN {_META} ON x.rule_id = m.rule_id")
+def detections_enriched(spark, sf_dir):
+    df, engine = _matches(spark, sf_dir)
+    hits = df.select("event_id", F.explode("matched").alias("rule_id"))
+    return detect.detections(hits, detect.rule_table(spark, engine.ruleset)).select("event_id", "rule_id", "rule_name", "severity", "confidence")
+
+
+@query(f"SELECT DISTINCT event_id, rule_id, CASE WHEN rule_id = 1 THEN '00000000-aaaa-0000-0000-000000000001' ELSE 'rid-' || rule_id END AS rule_uid FROM ({_MATCHES})")
+def event_rule_links(spark, sf_dir):
+    df, engine = _matches(spark, sf_dir)
+    return detect.event_rule_links(df.select("event_id", F.explode("matched").alias("rule_id")), detect.rule_table(spark, engine.ruleset))
+
+
+@query(f"SELECT x.rule_id, e.user_id, count(*) AS n FROM ({_MATCHES}) x JOIN events e ON x.event_id = e.event_id GROUP BY ALL HAVING count(*) >= 5")
+def batch_group_threshold(spark, sf_dir):
+    df, _ = _matches(spark, sf_dir)
+    hits = df.select("user_id", F.explode("matched").alias("rule_id"))
+    return detect.batch_threshold(hits, ["user_id"], 5).select("rule_id", F.col("user_id").cast("long").alias("user_id"), "n")
+
+
+@query("SELECT event_id FROM events WHERE lower(event_type) = 'error' OR (lower(event_type) = 'purchase' AND CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 0 AND 20)")
+def prefilter_is_implied(spark, sf_dir):
+    """Rules behind the test of their literals: nothing that matches is lost."""
+    df = read(spark, sf_dir, "events")
+    engine = engine_for(df, "---".join(RULES.split("---")[:2]))
+    raw = F.concat_ws(" ", "event_type", "props")
+    return df.where(detect.prefilter(engine, raw)).where(F.size(engine.matched()) > 0).select("event_id")
+
+
+def _fold_sql(groups: str, span_us: int, gte: int) -> str:
+    """The window with its restart and reset as recursion over a group's events in order. ``groups``: SQL with g, t, event_id."""
+    return f"""
+      WITH RECURSIVE o AS (SELECT g, t, event_id, row_number() OVER (PARTITION BY g ORDER BY t, event_id) AS i FROM ({groups})),
+      w AS (
+        SELECT g, i, t AS s0, t, event_id, CAST(1 AS BIGINT) AS n FROM o WHERE i = 1
+        UNION ALL
+        SELECT o.g, o.i, CASE WHEN o.t - (CASE WHEN w.n >= {gte} THEN w.t ELSE w.s0 END) <= {span_us} THEN (CASE WHEN w.n >= {gte} THEN w.t ELSE w.s0 END) ELSE o.t END, o.t, o.event_id,
+               CASE WHEN o.t - (CASE WHEN w.n >= {gte} THEN w.t ELSE w.s0 END) <= {span_us} THEN (CASE WHEN w.n >= {gte} THEN 0 ELSE w.n END) + 1 ELSE 1 END
+        FROM w JOIN o ON o.g = w.g AND o.i = w.i + 1
+      )"""
+
+
+@query(_fold_sql("SELECT user_id AS g, epoch_us(ts) AS t, event_id FROM events WHERE event_type = 'error'", 72 * 3_600_000_000, 3) + " SELECT 'many_errors' AS rule_name, event_id, make_timestamp(s0) AS window_start, make_timestamp(t) AS alert_ts, CAST(n AS INTEGER) AS n FROM w WHERE n >= 3")
+def correlation_value_count(spark, sf_dir):
+    return _alerts(spark, sf_dir).where("correlation = 0").select("rule_name", "event_id", "window_start", "alert_ts", "n")
+
+
+@query(_fold_sql("SELECT 1 AS g, epoch_us(ts) AS t, event_id FROM events WHERE event_type IN ('error','signup') OR (event_type = 'view' AND CAST(json_extract_string(props, '$.k') AS DOUBLE) = 3)", 30 * 60_000_000, 4) + " SELECT 'everywhere' AS rule_name, event_id, make_timestamp(s0) AS window_start, make_timestamp(t) AS alert_ts, CAST(n AS INTEGER) AS n FROM w WHERE n >= 4")
+def correlation_missing_group(spark, sf_dir):
+    """A group field that no event has: all events are one group."""
+    return _alerts(spark, sf_dir).where("correlation = 1").select("rule_name", "event_id", "window_start", "alert_ts", "n")
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "events")
+    engine = engine_for(df, RULES + "---" + CORRELATIONS)
+    for n in ("event_id", "value"):
+        engine.fields.names.pop(n)
+    seen = df.withColumn("matched", engine.matched())
+    return correlate.correlate(seen, engine.ruleset, {"user_id": F.col("user_id")})
+
+
+@query("SELECT 'many_errors' AS rule_name, count(DISTINCT user_id) AS windows FROM events WHERE event_type = 'error'")
+def correlation_windows(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    engine = engine_for(df, RULES + "---" + CORRELATIONS)
+    counted = correlate.triggers(df.withColumn("matched", engine.matched()), engine.ruleset, {"user_id": F.col("user_id")})
+    return correlate.windows_per_rule(counted.where("correlation = 0"))
+
+
+@query("SELECT make_timestamp(epoch_us(ts) // 86400000000 * 86400000000) AS window_start, count(DISTINCT user_id) AS n FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(DISTINCT user_id) >= 2")
+def correlation_distinct_values(spark, sf_dir):
+    """The standard's reading of value_count, by fixed days."""
+    df = read(spark, sf_dir, "events")
+    text = RULES + "---\nname: d\ncorrelation: {type: value_count, rules: [errors], timespan: 24h, condition: {field: user_id, gte: 2}}"
+    engine = engine_for(df, text)
+    return correlate.distinct_values(df.withColumn("matched", engine.matched()), engine.ruleset, {"user_id": F.col("user_id")}).select("window_start", "n")
+
+
+def transform_query(name: str, table: str, key: str, value: str, column: Callable[[str], Column], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: read(spark, sf_dir, table).select(key, column(value).alias("v"))
+    ORACLE_SQL[name] = f"SELECT {key}, {sql} AS v FROM {table}"
+
+
+def _register_transforms() -> None:
+    t = transform_query
+    t("transform_md5", "part", "p_partkey", "p_name", lambda c: X.apply_chain(F.col(c), ["md5"]), "md5(p_name)")
+    t("transform_sha1", "part", "p_partkey", "p_name", lambda c: X.apply_chain(F.col(c), ["sha1"]), "sha1(p_name)")
+    t("transform_sha256", "part", "p_partkey", "p_name", lambda c: X.apply_chain(F.col(c), ["sha256"]), "sha256(p_name)")
+    t("transform_hex", "part", "p_partkey", "p_name", lambda c: X.apply_chain(F.col(c), ["hex_encode"]), "lower(hex(p_name))")
+    t("transform_hex_roundtrip", "part", "p_partkey", "p_name", lambda c: X.apply_chain(F.col(c), ["hex_encode", "hex_decode"]), "p_name")
+    t("transform_base64", "part", "p_partkey", "p_name", lambda c: X.base64_decode(F.base64(F.col(c).cast("binary"))), "p_name")
+    t("transform_base64_bad", "part", "p_partkey", "p_name", lambda c: X.base64_decode(F.concat(F.lit("*"), F.col(c))), "CAST(NULL AS VARCHAR)")
+    t("transform_base64offset", "part", "p_partkey", "p_name", lambda c: X.base64offset_decode(F.concat(F.lit("*"), F.base64(F.col(c).cast("binary")))), "p_name")
+    t("transform_url_encode", "pages", "page_id", "url", lambda c: X.url_encode(F.concat(F.col(c), F.lit(" ~*a"))), "url_encode(url || ' ~*a')")
+    t("transform_url_roundtrip", "pages", "page_id", "url", lambda c: X.apply_chain(F.col(c), ["url_encode", "url_decode"]), "url")
+    t("transform_html", "nation", "n_nationkey", "n_name", lambda c: X.html_decode(F.concat(F.lit("&lt;b&gt;"), F.col(c), F.lit("&amp;"))), "'<b>' || n_name || '&'")
+    t("transform_case", "part", "p_partkey", "p_type", lambda c: X.apply_chain(F.col(c), ["lowercase", "uppercase"]), "upper(lower(p_type))")
+    t("transform_reverse", "part", "p_partkey", "p_name", lambda c: X.apply_chain(F.col(c), ["reverse"]), "reverse(p_name)")
+    t("transform_trim", "part", "p_partkey", "p_name", lambda c: X.trim(F.concat(F.lit(" \t\n"), F.col(c), F.lit("  "))), "p_name")
+    t("transform_normalize_whitespace", "documents", "doc_id", "text", lambda c: X.apply_chain(F.col(c), ["normalize_whitespace"]), r"trim(regexp_replace(text, '\s+', ' ', 'g'))")
+    t("transform_remove_whitespace", "part", "p_partkey", "p_name", lambda c: X.apply_chain(F.col(c), ["remove_whitespace"]), r"regexp_replace(p_name, '[ \t\n\r]', '', 'g')")
+    t("transform_normalize_path", "pages", "page_id", "url", lambda c: X.apply_chain(F.replace(F.col(c), F.lit("/"), F.lit("\\")), ["normalize_path"]), "regexp_replace(url, '/{2,}', '/', 'g')")
+    t("transform_basename", "pages", "page_id", "url", lambda c: X.apply_chain(F.col(c), ["basename"]), "regexp_extract(rtrim(url, '/'), '([^/]*)$', 1)")
+    t("transform_dirname", "pages", "page_id", "url", lambda c: X.apply_chain(F.col(c), ["dirname"]), "regexp_extract(regexp_replace(url, '/{2,}', '/', 'g'), '^(.*)/[^/]*$', 1)")
+    t("transform_csv", "part", "p_partkey", "p_name", lambda c: X.csv_extract(F.concat(F.lit('"'), F.col(c), F.lit('",x,y'))), "p_name")
+    t("transform_json_normalize", "events", "event_id", "props", lambda c: X.json_normalize(F.concat(F.lit("{\n\t"), F.col(c), F.lit("   }"))), "'{' || regexp_replace(props, ' {2,}', ' ', 'g') || ' }'")
+    t("transform_to_int", "part", "p_partkey", "p_size", lambda c: X.to_int(F.concat(F.lit(" "), F.col(c).cast("string"))), "CAST(p_size AS VARCHAR)")
+    t("transform_to_float_bad", "part", "p_partkey", "p_size", lambda c: X.to_float(F.concat(F.col(c).cast("string"), F.lit("d"))), "CAST(NULL AS VARCHAR)")
+    t("transform_wide", "part", "p_partkey", "p_name", lambda c: X.wide_decode(F.concat_ws("\0", F.split(F.col(c), ""))), "p_name")
+    t("transform_identity", "part", "p_partkey", "p_name", lambda c: X.apply_chain(F.col(c), ["utf16le_decode", "json_extract", "unix_timestamp", "gzip"]), "p_name")
+
+
+_register_transforms()
+
+
+def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("endpoint_id"), F.col("ts").alias("last_seen"), F.col("event_type").alias("host_name"), "event_id")
+    return latest(rows, "endpoint_id", "last_seen")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS endpoint_id, max(ts) AS last_seen, arg_max(event_type, ts) AS host_name FROM events GROUP BY user_id")
+def endpoint_latest(spark, sf_dir):
+    return _endpoints(spark, sf_dir).select("endpoint_id", "last_seen", "host_name")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS endpoint_id, max(ts) AS last_seen FROM events GROUP BY user_id ORDER BY last_seen DESC, endpoint_id LIMIT 50")
+def endpoints_newest(spark, sf_dir):
+    return views.newest_endpoints(_endpoints(spark, sf_dir).select("endpoint_id", "last_seen"), 50)
+
+
+@query("WITH e AS (SELECT user_id, max(ts) AS l FROM events GROUP BY user_id), m AS (SELECT max(l) AS t FROM e) SELECT count(*) AS total, count(*) FILTER (WHERE epoch_us(t) - epoch_us(l) < 300000000) AS online, count(*) FILTER (WHERE epoch_us(t) - epoch_us(l) >= 1800000000) AS offline FROM e, m")
+def endpoint_state(spark, sf_dir):
+    e = _endpoints(spark, sf_dir)
+    newest = e.agg(F.max("last_seen")).first()[0]
+    return views.endpoint_state(e, F.lit(newest))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS endpoint_id FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-30 00:00:00'")
+def endpoints_alive(spark, sf_dir):
+    return views.alive(_endpoints(spark, sf_dir), as_of(), 2 * 86400).select("endpoint_id")
+
+
+@query(f"SELECT m.severity, count(*) AS n FROM ({_MATCHES}) x JOIN {_META} ON x.rule_id = m.rule_id WHERE m.severity IN ('critical','high','medium','low') GROUP BY 1")
+def severity_counts(spark, sf_dir):
+    return views.severity_counts(detections_enriched(spark, sf_dir))
+
+
+@query(f"SELECT m.severity, count(*) AS n FROM ({_MATCHES}) x JOIN {_META} ON x.rule_id = m.rule_id GROUP BY 1")
+def severity_counts_all(spark, sf_dir):
+    return views.severity_counts(detections_enriched(spark, sf_dir), True)
+
+
+@query(f"SELECT x.event_id, x.rule_id FROM ({_MATCHES}) x JOIN {_META} ON x.rule_id = m.rule_id WHERE m.severity = 'high'")
+def detections_by_severity(spark, sf_dir):
+    return views.by_severity(detections_enriched(spark, sf_dir), "high").select("event_id", "rule_id")
+
+
+@query(f"SELECT event_id * 100 + rule_id AS detection_id FROM ({_MATCHES}) ORDER BY 1 DESC LIMIT 200")
+def detections_newest(spark, sf_dir):
+    return views.newest_detections(detections_enriched(spark, sf_dir).select((F.col("event_id") * 100 + F.col("rule_id")).alias("detection_id")))
+
+
+@query(f"SELECT r.rule_id, count(x.event_id) AS detections FROM (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS rule_id) r LEFT JOIN ({_MATCHES}) x ON x.rule_id = r.rule_id GROUP BY 1")
+def rules_with_counts(spark, sf_dir):
+    df, engine = _matches(spark, sf_dir)
+    rules = detect.rule_table(spark, engine.ruleset)
+    found = detect.event_rule_links(df.select("event_id", F.explode("matched").alias("rule_id")), rules)
+    return views.rules_with_counts(rules, found).select("rule_id", "detections")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def event_timeline(spark, sf_dir):
+    return views.timeline(read(spark, sf_dir, "events").select("event_id", "ts"))
+
+
+@query("SELECT event_id AS id, ts AS occurred_at FROM events WHERE event_type IN ('error','view') AND ts >= TIMESTAMP '2024-01-20 00:00:00'")
+def alerts_merged(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("occurred_at"), "event_type")
+    old, new = e.where("event_type = 'error'").drop("event_type"), e.where("event_type IN ('error', 'view')").drop("event_type")
+    return views.merge_alerts(old, new, as_of(), 12 * 86400)
+
+
+#: A forest over events: parent event_id // 3 in blocks of 1000 as endpoints; executables by number.
+_EXES = ["C:\\Office\\WINWORD.EXE", "C:\\ps\\powershell.exe", "C:\\w\\cmd.exe", "", "/usr/bin/certutil.exe", "C:\\x\\chrome.exe", "C:\\w\\wmic.exe"]
+_NODES = f"""n AS (SELECT CAST(event_id // 1000 AS VARCHAR) AS endpoint_id, 'pid:' || (event_id % 1000) AS key,
+  CASE WHEN event_id % 1000 = 0 THEN NULL ELSE 'pid:' || ((event_id % 1000) // 3) END AS parent_key,
+  [{", ".join("'" + x + "'" for x in _EXES)}][1 + CAST(event_id % 7 AS INTEGER)] AS executable, ts FROM events)"""
+
+
+def process_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    own = F.col("event_id") % 1000
+    exe = F.element_at(F.array(*[F.lit(x) for x in _EXES]), (F.col("event_id") % 7 + 1).cast("int"))
+    empty = F.lit("")
+    return e.select(F.floor(F.col("event_id") / 1000).cast("string").alias("endpoint_id"), empty.alias("entity_id"), empty.alias("parent_entity_id"), own.cast("string").alias("pid"), F.when(own == 0, empty).otherwise(F.floor(own / 3).cast("string")).alias("ppid"), empty.alias("name"), exe.alias("executable"), empty.alias("command_line"), "ts", F.col("event_id").alias("seq"))
+
+
+def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proctree.build_nodes(process_events(spark, sf_dir), as_of())
+
+
+_SUSP = "regexp_matches(lower(executable), 'powershell|cmd\\.exe|wmic\\.exe|certutil\\.exe')"
+
+
+@query(f"WITH {_NODES} SELECT endpoint_id, key, parent_key, executable, ts AS last_seen, {_SUSP} AS suspicious FROM n")
+def tree_nodes(spark, sf_dir):
+    return nodes_of(spark, sf_dir).select("endpoint_id", "key", "parent_key", "executable", "last_seen", "suspicious")
+
+
+@query(f"WITH {_NODES} SELECT endpoint_id, key FROM n WHERE parent_key IS NULL")
+def tree_roots(spark, sf_dir):
+    return proctree.roots(nodes_of(spark, sf_dir)).select("endpoint_id", "key")
+
+
+_WALK = f"WITH RECURSIVE {_NODES}, w AS (SELECT endpoint_id, key, key AS root, CAST(1 AS BIGINT) AS depth FROM n WHERE parent_key IS NULL UNION ALL SELECT n.endpoint_id, n.key, w.root, w.depth + 1 FROM w JOIN n ON n.endpoint_id = w.endpoint_id AND n.parent_key = w.key)"
+
+
+@query(_WALK + " SELECT endpoint_id, key, root, depth FROM w")
+def tree_depth(spark, sf_dir):
+    return proctree.positions(nodes_of(spark, sf_dir))
+
+
+@query(f"WITH {_NODES} SELECT endpoint_id, parent_key AS key, count(*) AS children FROM n WHERE parent_key IS NOT NULL GROUP BY 1, 2")
+def tree_children(spark, sf_dir):
+    n = nodes_of(spark, sf_dir)
+    return n.where(F.col("parent_key").isNotNull()).groupBy("endpoint_id", F.col("parent_key").alias("key")).agg(F.count(F.lit(1)).alias("children"))
+
+
+@query("SELECT CAST(step AS INTEGER) AS step, key FROM (VALUES (1, 'pid:0'), (2, 'pid:1'), (3, 'pid:3'), (4, 'pid:11'), (5, 'pid:33'), (6, 'pid:100')) AS v(step, key)")
+def tree_chain(spark, sf_dir):
+    return proctree.chain(nodes_of(spark, sf_dir), "0", "pid:100")
+
+
+@query(f"WITH RECURSIVE {_NODES}, d AS (SELECT key, 0 AS depth FROM n WHERE endpoint_id = '0' AND key = 'pid:2' UNION ALL SELECT n.key, d.depth + 1 FROM d JOIN n ON n.endpoint_id = '0' AND n.parent_key = d.key) SELECT key, CAST(depth AS INTEGER) AS depth FROM d WHERE depth > 0")
+def tree_descendants(spark, sf_dir):
+    return proctree.descendants(nodes_of(spark, sf_dir), "0", "pid:2")
+
+
+@query(f"WITH {_NODES} SELECT endpoint_id, count(*) AS nodes, count(*) FILTER (WHERE {_SUSP}) AS suspicious FROM n GROUP BY 1")
+def tree_stats(spark, sf_dir):
+    return proctree.stats(nodes_of(spark, sf_dir))
+
+
+@query(_WALK + f", c AS (SELECT endpoint_id, parent_key AS key, count(*) AS k FROM n WHERE parent_key IS NOT NULL GROUP BY 1, 2) SELECT n.endpoint_id, count(*) AS total, count(*) FILTER (WHERE {_SUSP}) AS suspicious, max(w.depth) AS tree_depth, count(*) FILTER (WHERE w.depth = 1) AS roots, round(avg(coalesce(c.k, 0)), 6) AS avg_children, max(coalesce(c.k, 0)) AS max_children FROM n JOIN w ON n.endpoint_id = w.endpoint_id AND n.key = w.key LEFT JOIN c ON c.endpoint_id = n.endpoint_id AND c.key = n.key GROUP BY 1")
+def tree_analysis(spark, sf_dir):
+    return proctree.analysis(nodes_of(spark, sf_dir)).drop("orphans").withColumn("avg_children", F.round("avg_children", 6))
+
+
+@query(f"WITH {_NODES} SELECT endpoint_id, lower(regexp_extract(executable, '([^\\\\/]*)$', 1)) AS executable, count(*) AS n FROM n WHERE executable <> '' GROUP BY 1, 2")
+def tree_executables(spark, sf_dir):
+    return proctree.executable_counts(nodes_of(spark, sf_dir))
+
+
+@query(f"WITH {_NODES} SELECT endpoint_id, 'medium' AS severity, lower(regexp_extract(executable, '([^\\\\/]*)$', 1)) AS executable, count(*) AS n FROM n WHERE executable <> '' GROUP BY 1, 3 HAVING count(*) > 20")
+def tree_anomalies(spark, sf_dir):
+    return proctree.anomalies(nodes_of(spark, sf_dir)).select("endpoint_id", "severity", "executable", "n")
+
+
+_PAIRS = ", ".join(f"('{a}', '{b}', '{r}')" for a, b, _, r in proctree.PAIRS)
+
+
+@query(f"WITH RECURSIVE {_NODES}, x AS (SELECT endpoint_id, key, parent_key, lower(regexp_extract(executable, '([^\\\\/]*)$', 1)) AS exe FROM n), u AS (SELECT endpoint_id, key, exe, parent_key AS up FROM x WHERE exe <> '' UNION ALL SELECT u.endpoint_id, u.key, u.exe, p.parent_key FROM u JOIN x p ON p.endpoint_id = u.endpoint_id AND p.key = u.up WHERE p.exe = '') SELECT u.endpoint_id, u.key, p.exe AS above, u.exe, t.risk FROM u JOIN x p ON p.endpoint_id = u.endpoint_id AND p.key = u.up AND p.exe <> '' JOIN (VALUES {_PAIRS}) t(a, b, risk) ON t.a = p.exe AND t.b = u.exe")
+def suspicious_pairs(spark, sf_dir):
+    return proctree.suspicious_pairs(nodes_of(spark, sf_dir)).select("endpoint_id", "key", "above", "exe", "risk")
+
+
+@query(f"""WITH d AS (SELECT e.user_id, e.ts, m.severity, m.rule_name FROM ({_MATCHES}) x JOIN {_META} ON x.rule_id = m.rule_id JOIN events e ON e.event_id = x.event_id),
+  s AS (SELECT user_id, count(*) AS detections, round(sum(0.3 + CASE severity WHEN 'critical' THEN 0.4 WHEN 'high' THEN 0.3 WHEN 'medium' THEN 0.2 WHEN 'low' THEN 0.1 ELSE 0 END + 0.7 * 0.2) + CASE WHEN user_id % 2 = 0 THEN 0.2 ELSE 0 END, 4) AS score FROM d GROUP BY user_id)
+  SELECT CAST(user_id AS VARCHAR) AS process_key, detections, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 2 THEN 'critical' WHEN score >= 1.5 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS risk FROM s""")
+def risk_score(spark, sf_dir):
+    df, engine = _matches(spark, sf_dir)
+    hits = df.select(F.col("user_id").cast("string").alias("process_key"), "ts", F.explode("matched").alias("rule_id"))
+    found = detect.detections(hits, detect.rule_table(spark, engine.ruleset))
+    users = df.select("user_id").distinct().select(F.col("user_id").cast("string").alias("process_key"), F.when(F.col("user_id") % 2 == 0, "cmd.exe").otherwise("x").alias("executable"), F.lit("").alias("command_line"))
+    out = proctree.risk_scores(found, users, F.lit("2024-03-01").cast("timestamp"))
+    return out.select("process_key", "detections", F.round("score", 4).alias("score"), "risk")
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '([^/]*)$', 1)) AS base FROM pages WHERE NOT ends_with(url, '/')")
+def executable_basename(spark, sf_dir):
+    return read(spark, sf_dir, "pages").where(~F.endswith("url", F.lit("/"))).select("page_id", basename_lower(F.col("url")).alias("base"))
+
+
+@query("SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 'a' || event_id WHEN event_id % 3 = 1 THEN 'g' || event_id ELSE '' END AS VARCHAR) AS endpoint_id, 'h' || user_id AS host_name, '1.' || (event_id % 5) AS agent_version FROM events")
+def endpoint_extraction(spark, sf_dir):
+    from .functions.fields import endpoint_columns
+
+    df = read(spark, sf_dir, "events")
+    raw = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("a"), F.col("event_id").cast("string"))).alias("endpoint_id"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("g"), F.col("event_id").cast("string"))).alias("agent.id"), F.struct(F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("name")).alias("host"), F.concat(F.lit("1."), (F.col("event_id") % 5).cast("string")).alias("agent.version")))
+    cols = endpoint_columns(JsonEvents())
+    return df.select("event_id", raw.alias("event")).select("event_id", *[cols[n].alias(n) for n in ("endpoint_id", "host_name", "agent_version")])
+
+
+@query("SELECT event_id, 'u' || user_id AS hostname, CASE WHEN event_id % 8 <= 3 THEN 'deny' ELSE 'allow' END AS Action, '/usr/bin/' || event_type AS Image, CAST(event_id % 8 AS INTEGER) AS priority FROM events")
+def journal_normalise(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    raw = F.to_json(F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"), F.col("event_type").alias("_COMM"), (F.col("event_id") % 8).cast("string").alias("PRIORITY"), F.col("event_id").cast("string").alias("SYSLOG_IDENTIFIER")))
+    out = feeds.journal_normalise(df.select(raw.alias("event")))
+    return out.select(F.col("EventID").cast("long").alias("event_id"), "hostname", "Action", "Image", "priority")
+
+
+@query("SELECT event_id, make_timestamp(1700000000000000 + event_id * 1000) AS timestamp, event_id AS seqno, event_type AS op, 'u' || user_id AS acct FROM events")
+def audit_parse(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    line = F.concat(F.lit("type=USER msg=audit("), F.format_string("%d.%03d", (F.lit(1700000000) + F.floor(F.col("event_id") / 1000)).cast("long"), (F.col("event_id") % 1000).cast("long")), F.lit(":"), F.col("event_id").cast("string"), F.lit("): pid=1 msg='op="), F.col("event_type"), F.lit(' acct="u'), F.col("user_id").cast("string"), F.lit("\" res=ok'\x1dUID=\"root\""))
+    out = feeds.audit_parse(df.select(line.alias("message")))
+    return out.select(F.col("seqno").alias("event_id"), "timestamp", "seqno", F.col("fields")["op"].alias("op"), F.col("fields")["acct"].alias("acct"))
+
+
+@query("SELECT event_id, CAST(i AS INTEGER) AS i FROM events, (VALUES (0), (1)) v(i) WHERE i <= event_id % 2")
+def ingest_payloads(spark, sf_dir):
+    """Objects and arrays of objects; what else an array holds is dropped."""
+    df = read(spark, sf_dir, "events")
+    one = lambda i: F.concat(F.lit('{"i": '), F.lit(str(i)), F.lit(', "id": '), F.col("event_id").cast("string"), F.lit("}"))
+    body = F.when(F.col("event_id") % 2 == 0, one(0)).otherwise(F.concat(F.lit("["), one(0), F.lit(", 5, "), one(1), F.lit("]")))
+    out = feeds.parse_payloads(df.select(body.alias("payload")))
+    return out.select(F.get_json_object("event", "$.id").cast("long").alias("event_id"), F.get_json_object("event", "$.i").cast("int").alias("i"))
+
+
+@query("SELECT DISTINCT event_id FROM events WHERE event_type = 'error' AND NOT coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 50, false)")
+def spec_mode_comparison(spark, sf_dir):
+    """The rule standard's comparison suffixes, applied."""
+    df = read(spark, sf_dir, "events")
+    text = "detection:\n  s: {event_type: err*}\n  f: {k|gte: 50}\n  condition: s and not f"
+    return engine_for(df, text, EngineConfig(mode="spec")).matches(df).select("event_id")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over events, correlated into alerts."""
+    return _alerts(spark, sf_dir)
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
