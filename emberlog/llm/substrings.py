@@ -22,20 +22,21 @@ change nothing, as nothing is keyed by them.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 from .words import Spans, U, Words, chunks, mix, sliding_min
 
-K, M = 35, 8
+K, M = 35, 5
 #: Packed bytes that a bucket should hold, and bytes of packed strings for a byte of text.
-BUCKET_BYTES, EXPANSION = 6 << 20, 3.3
+BUCKET_BYTES, EXPANSION = 6 << 20, 3.1
 #: A run of windows is cut so that no packed string gets long.
 RUN = 256
 #: A run counts as frequent in a batch from so many occurrences; globally, from a share of a bucket.
@@ -44,8 +45,18 @@ LOCAL = 8
 FREQUENT = 1 << 20
 
 
-def text_key(b: bytes) -> bytes:
-    return hashlib.sha256(b).digest()[:16]
+#: Rows of a batch whose texts are held as objects at a time, and bytes of packed strings.
+ROWS, HELD = 2048, 24 << 20
+
+
+def text_key(b: bytes) -> tuple[int, int]:
+    """The first 128 bits of a text's digest."""
+    return struct.unpack(">qq", hashlib.sha256(b).digest()[:16])
+
+
+def text_key_columns(text: Column) -> list[Column]:
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return [F.conv(F.substring(digest, k, 16), 16, -10).cast("long") for k in (1, 17)]
 
 
 class Windows:
@@ -109,23 +120,23 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack(frequent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, z = frequent.value, zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            seen: dict[tuple[int, int], int] = {}
-            packed: list[bytes] = []
-            where: list[int] = []
-            again: list[int] = []
-            held = 0
-
-            def out() -> Iterator[pa.RecordBatch]:
-                order = np.argsort(np.array(where, np.int64), kind="stable")
-                by = np.array(where, np.int64)[order]
-                cuts = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
-                rows = []
-                for s, e in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-                    rows.append(z.compress(b"\n".join(b"%d %s" % (again[i], packed[i]) for i in order[s:e])))
-                yield pa.RecordBatch.from_arrays([pa.array(by[cuts]), pa.array(rows, pa.binary())], names=["bucket", "packed"])
-
+        hot, z = frequent.value, zstandard.ZstdCompressor(level=6)
+        seen: dict[tuple[int, int], int] = {}
+        packed: list[bytes] = []
+        where: list[int] = []
+        again: list[int] = []
+        held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            order = np.argsort(np.array(where, np.int64), kind="stable")
+            by = np.array(where, np.int64)[order]
+            cuts = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+            rows = []
+            for s, e in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
+                rows.append(z.compress(b"\n".join(b"%d %s" % (again[i], packed[i]) for i in order[s:e])))
+            yield pa.RecordBatch.from_arrays([pa.array(by[cuts]), pa.array(rows, pa.binary())], names=["bucket", "packed"])
+
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             copies: dict[str | None, int] = {}
             for t in b.column(0).to_pylist():
                 copies[t] = copies.get(t, 0) + 1
@@ -156,11 +167,11 @@ def _pack(frequent, buckets: int):
                         held += c - a
                     else:
                         again[at] = 2
-                if held > 48 << 20:
+                if held > HELD:
                     yield from out()
                     seen, packed, where, again, held = {}, [], [], [], 0
-            if packed:
-                yield from out()
+        if packed:
+            yield from out()
 
     return run
 
@@ -218,7 +229,7 @@ def _count(key, table):
 def _locate(frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = frequent.value
-        for b in batches:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             for _, part in chunks(list(dict.fromkeys(b.column(0).to_pylist()))):
                 w = Words(part)
                 sk = Windows(w, hot)
@@ -226,14 +237,14 @@ def _locate(frequent):
                     continue
                 h1, h2 = sk.keys()
                 doc = np.searchsorted(w.first, sk.start, side="right") - 1
-                keys = np.frombuffer(b"".join(map(text_key, part)), "V16")
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([keys[d].tobytes() for d in doc.tolist()], pa.binary()), pa.array((sk.start - w.first[doc]).astype(np.int32))], names=["k1", "k2", "text_key", "pos"])
+                keys = np.array([text_key(p) for p in part], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(keys[doc, 0]), pa.array(keys[doc, 1]), pa.array((sk.start - w.first[doc]).astype(np.int32))], names=["k1", "k2", "t1", "t2", "pos"])
 
     return run
 
 
 def covered(texts: DataFrame, name: str = "substrings") -> DataFrame:
-    """texts(text) to one row a text with repeated windows: text_key, ranges (flat pairs of word positions)."""
+    """texts(text) to one row a text with repeated windows: t1, t2 (its key), ranges (flat pairs of word positions)."""
     spark = texts.sparkSession
     work = shared.Workspace(spark, name)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -246,10 +257,10 @@ def covered(texts: DataFrame, name: str = "substrings") -> DataFrame:
     packed = texts.select("text").mapInArrow(_pack(frequent, buckets), "bucket long, packed binary")
     answers = packed.groupBy("bucket").applyInArrow(_count, "k1 long, k2 long, ranges array<int>")
     # a run cut at RUN may stand in several buckets' strings only if equal, hence once; long keys are split by Spark
-    places = texts.select("text").mapInArrow(_locate(frequent), "k1 long, k2 long, text_key binary, pos int")
+    places = texts.select("text").mapInArrow(_locate(frequent), "k1 long, k2 long, t1 long, t2 long, pos int")
     hits = places.join(answers, ["k1", "k2"])
-    flat = hits.select("text_key", F.transform("ranges", lambda x: x + F.col("pos")).alias("r"))
-    return flat.groupBy("text_key").agg(F.flatten(F.collect_set("r")).alias("ranges"))  # bounded by one text's length
+    flat = hits.select("t1", "t2", F.transform("ranges", lambda x: x + F.col("pos")).alias("r"))
+    return flat.groupBy("t1", "t2").agg(F.flatten(F.collect_set("r")).alias("ranges"))  # bounded by one text's length
 
 
 def _keep_mask(n: int, ranges: list[int] | None) -> np.ndarray:
@@ -268,8 +279,8 @@ def remove_repeats(docs: DataFrame, columns: list[str], name: str = "substrings"
     own = [c for c in columns if c != "text"]
     rows = docs.select(docs["text"].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(own)])
     ranges = covered(rows.select("text"), name)
-    keyed = rows.withColumn("text_key", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16))
-    joined = keyed.join(ranges, "text_key", "left").drop("text_key")
+    t1, t2 = text_key_columns(F.col("text"))
+    joined = rows.withColumn("t1", t1).withColumn("t2", t2).join(ranges, ["t1", "t2"], "left").drop("t1", "t2")
     passed = [f"c{i}" for i in range(len(own))]
     extra = [T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*[T.StructField(c, docs.schema[o].dataType) for c, o in zip(passed, own, strict=True)], *extra])
