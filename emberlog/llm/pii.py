@@ -54,9 +54,10 @@ TYPES = {
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
     "person": _person(),
 }
-ANY = "|".join(f"(?:{p})" for p in TYPES.values())
-#: Any entity has one of these, so other texts are passed by at once.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|" + TYPES["person"]
+_CAPITAL = "(?=[A-ZА-Я])"
+ANY = TYPES["email"] + "|(?=[0-9+(])(?:" + "|".join(f"(?:{TYPES[t]})" for t in ("ip", "ssn", "card", "phone")) + f")|{_CAPITAL}(?:{TYPES['person']})"
+#: Any entity has one of these, so other texts are passed by at once; one look at a character settles most places.
+HINT = rf"(?=[@0-9A-ZА-Я])(?:@|[0-9]{{3}}|[0-9]\.[0-9]|{_CAPITAL}(?:{TYPES['person']}))"
 
 
 def kind_of(entity: Column) -> Column:
