@@ -21,7 +21,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = _both(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,14 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def partial_labels(edges: DataFrame, work: shared.Workspace, rounds: int) -> DataFrame:
+    """(u, v) after a few rounds: nodes with one v are connected, but not all connected ones have one yet."""
+    now = edges.select("u", "v").where(F.col("u") != F.col("v"))
+    for _ in range(rounds):
+        now = work.keep(small_star(large_star(now)))
+    return now
+
+
 def components(edges: DataFrame, work: shared.Workspace) -> DataFrame:
     """edges(u, v) to (node, root): every node of an edge with the smallest node it is connected to.
 

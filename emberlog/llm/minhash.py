@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .components import components
+from .components import components, partial_labels
 from .words import LOWER, U, Words, chunks, mix
 
 BANDS, ROWS = 32, 5
@@ -247,7 +247,9 @@ def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspa
     judged = stars.join(mine, "node").join(theirs, "centre").select("node", "centre", "m", "c").mapInArrow(_agreement, "node binary, centre binary, agree int")
     best = judged.where(F.col("agree") >= AGREE * HASHES).groupBy("node").agg(F.max(F.struct("agree", "centre")).alias("b")).select(F.col("node").alias("u"), F.col("b.centre").alias("v"))
     links = work.keep(confirmed(best))
-    first = components(links, work)
+    # labels that only serve to leave out tests needn't be final
+    joined = partial_labels(links, work, 2)
+    first = joined.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     # buckets that still hold several components
     labelled = work.keep(members.join(first, "node", "left").select("band", "which", "node", "zlen", F.coalesce("root", "node").alias("comp")))
     groups = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("zlen").cast("long")).alias("bytes"))
@@ -260,7 +262,7 @@ def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspa
     outside = left.where(F.col("comp") != F.col("most")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("place", F.lit(-1))
     dealt = own.unionByName(outside).select("band", "block", "which", "node", "comp", "minima", "ztext", "place")
     more = work.keep(dealt.groupBy("band", "block").applyInArrow(_rest(size, percent), "u binary, v binary").distinct())
-    return components(links.unionByName(more), work)
+    return components(joined.unionByName(more), work)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "minhash") -> DataFrame:
