@@ -4,10 +4,12 @@ Every payload is stored once, under the digest of its stored form, as an 8-bit g
 shard in the shared folder; rows carry digest, shard, offset and length.  Metadata columns come from
 range reads of the images' headers only; features come from whole payloads read back.
 
-How it runs: payloads are encoded where the rows are, copies in an Arrow batch once; a shuffle by
-digest brings equal ones together; each task writes one shard, named by its own content, so a task
-that runs again after a lost executor writes the same file.  The index (small rows) is itself written
-to the shared folder, so shards are never written twice by a later read.
+How it runs: payloads are encoded and stored where their rows are, so no payload is shuffled.  Each task
+writes shards of a bounded size, each named by its own content, and stores what it meets several times once;
+a task that runs again after a lost executor writes the same files.  Only the index (small rows) is
+shuffled: where several tasks stored the same payload, one place is chosen for all rows, and the others are
+orphans that a sweep may drop.  The index is written to the shared folder before it is read, so shards
+are never written twice by a later read.
 
 Defined results: a null payload counts as empty; an empty one is stored as 64 zero bytes; copies share
 one stored object; an empty table gives an empty index and no shard.
@@ -16,7 +18,6 @@ one stored object; an empty table gives an empty index and no shard.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -36,7 +37,9 @@ WIDTH = 64
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
-INDEX = "text_sha256 string, media_sha256 string, shard string, offset long, length long"
+INDEX = "text_sha256 binary, media_sha256 binary, shard string, offset long, length long"
+#: Bytes from which a task begins a new shard, and digests that it remembers at a time.
+SHARD_BYTES, REMEMBERED = 256 << 20, 1 << 20
 META = INDEX + ", width long, height long, bit_depth int, payload_bytes long"
 
 
@@ -86,81 +89,78 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        seen: set[str] = set()
-        digest, sha, data, held = [], [], [], 0
+class _Shard:
+    """A tar file being written; takes its name when it is closed."""
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(digest, pa.string()), pa.array(sha, pa.string()), pa.array(data, pa.binary())], names=["text_sha256", "media_sha256", "media"])
+    def __init__(self, filesystem: pafs.FileSystem, base: str):
+        filesystem.create_dir(base, recursive=True)
+        self.filesystem, self.base, self.part = filesystem, base, f"{base}/part-{uuid.uuid4().hex}"
+        self.stream, self.own, self.at = filesystem.open_output_stream(self.part), hashlib.sha256(), 0
+        self.rows: list[tuple[bytes, bytes, int, int]] = []
 
-        for d, raw in zip(b.column(0), b.column(1), strict=True):
-            d = d.as_py()
-            if d in seen:
-                continue
-            seen.add(d)
-            png = to_png(pad(raw.as_py() or b""))
-            digest.append(d)
-            sha.append(hashlib.sha256(png).hexdigest())
-            data.append(png)
-            held += len(png)
-            if held > 8 << 20:
-                yield out()
-                digest, sha, data, held = [], [], [], 0
-        if digest:
-            yield out()
+    def write(self, data: bytes) -> None:
+        self.stream.write(data)
+        self.own.update(data)
+        self.at += len(data)
+
+    def add(self, digest: bytes, payload: bytes) -> None:
+        png = to_png(payload)
+        sha = hashlib.sha256(png)
+        info = tarfile.TarInfo(f"{sha.hexdigest()}.png")
+        info.size = len(png)
+        self.write(info.tobuf(tarfile.USTAR_FORMAT))
+        self.rows.append((digest, sha.digest(), self.at, len(png)))
+        self.write(png)
+        self.write(b"\0" * (-len(png) % tarfile.BLOCKSIZE))
+
+    def close(self) -> pa.RecordBatch:
+        self.stream.write(b"\0" * (2 * tarfile.BLOCKSIZE))
+        self.stream.close()
+        name = f"{self.own.hexdigest()}.tar"
+        self.filesystem.move(self.part, f"{self.base}/{name}")
+        d, sha, offset, length = zip(*self.rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(sha, pa.binary()), pa.array([name] * len(d)), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["text_sha256", "media_sha256", "shard", "offset", "length"])
 
 
 def write_shards(payloads: DataFrame, target: str) -> DataFrame:
-    """payloads(text_sha256, payload binary) to an index of shards under the URI ``target``.
+    """payloads(text_sha256 binary, payload binary) to an index of shards under the URI ``target``.
 
     The result is lazy: write it to a table before reading it twice.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _store(target)
-        rows, at, own, last = [], 0, hashlib.sha256(), None
-        part = f"{base}/part-{uuid.uuid4().hex}"
-        stream = None
+        seen: set[bytes] = set()
+        shard = None
         for b in batches:
-            for d, sha, png in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if d == last:  # sorted: copies follow each other
+            for d, raw in zip(b.column(0), b.column(1), strict=True):
+                d = d.as_py()
+                if d in seen:
                     continue
-                last = d
-                data = png.as_py()
-                if stream is None:
-                    filesystem.create_dir(base, recursive=True)
-                    stream = filesystem.open_output_stream(part)
-                info = tarfile.TarInfo(f"{sha}.png")
-                info.size = len(data)
-                head = info.tobuf(tarfile.PAX_FORMAT)
-                rows.append((d, sha, at + len(head), len(data)))
-                for x in (head, data, b"\0" * (-len(data) % tarfile.BLOCKSIZE)):
-                    stream.write(x)
-                    own.update(x)
-                    at += len(x)
-        if stream is not None:
-            stream.write(b"\0" * (2 * tarfile.BLOCKSIZE))
-            stream.close()
-            shard = f"{base}/{own.hexdigest()}.tar"
-            filesystem.move(part, shard)
-            d, sha, offset, length = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(sha), pa.array([shard] * len(rows)), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["text_sha256", "media_sha256", "shard", "offset", "length"])
-
-    encoded = payloads.select("text_sha256", "payload").mapInArrow(_encode, "text_sha256 string, media_sha256 string, media binary")
-    return encoded.repartition(shared.partitions(payloads.sparkSession), "text_sha256").sortWithinPartitions("text_sha256").mapInArrow(write, INDEX)
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(d)
+                shard = shard or _Shard(filesystem, base)
+                shard.add(d, pad(raw.as_py() or b""))
+                if shard.at >= SHARD_BYTES:
+                    yield shard.close()
+                    shard = None
+        if shard is not None:
+            yield shard.close()
+
+    return payloads.select("text_sha256", "payload").mapInArrow(write, INDEX)
 
 
 def _ranges(b: pa.RecordBatch, target: str, size) -> Iterator[tuple[int, bytes]]:
     """(row, bytes) of each range, opening each shard once in a run of rows."""
-    filesystem, _ = _store(target)
+    filesystem, base = _store(target)
     shards, offsets, lengths = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length"))
     name, f = None, None
     for i in sorted(range(b.num_rows), key=lambda i: (shards[i], offsets[i])):
         if shards[i] != name:
             if f is not None:
                 f.close()
-            name, f = shards[i], filesystem.open_input_file(shards[i])
+            name, f = shards[i], filesystem.open_input_file(f"{base}/{shards[i]}")
         yield i, f.read_at(size(lengths[i]), offsets[i])
     if f is not None:
         f.close()
@@ -192,7 +192,7 @@ def feature_of(samples: np.ndarray, width: int, height: int) -> str:
 
 def payload_columns(index: DataFrame, target: str) -> DataFrame:
     """Reads whole payloads back and computes their digests and features."""
-    fields = "payload_sha256 string, tail_crc32 long, media_read_sha256 string, feature string"
+    fields = "payload_sha256 binary, tail_crc32 long, media_read_sha256 binary, feature string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,9 +200,9 @@ def payload_columns(index: DataFrame, target: str) -> DataFrame:
             for i, data in _ranges(b, target, lambda n: n):
                 payload = from_png(data)
                 samples = np.frombuffer(payload, np.uint8)
-                got[i] = (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(data).hexdigest(), feature_of(samples, WIDTH, len(payload) // WIDTH))
+                got[i] = (hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(data).digest(), feature_of(samples, WIDTH, len(payload) // WIDTH))
             cols = [list(x) for x in zip(*got, strict=True)] if got else [[], [], [], []]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[*b.schema.names, "payload_sha256", "tail_crc32", "media_read_sha256", "feature"])
 
     return index.mapInArrow(read, META + ", " + fields)
@@ -214,9 +214,13 @@ def media_columns(docs: DataFrame, name: str = "media") -> DataFrame:
     work = shared.Workspace(spark, name)
     target = f"{work.root}/shards"
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
-    key = F.sha2(F.col("text"), 256)
+    key = F.unhex(F.sha2(F.col("text"), 256))
     index = work.keep(write_shards(rows.select(key.alias("text_sha256"), F.col("text").cast("binary").alias("payload")), target))
     stored = work.keep(payload_columns(header_columns(index, target), target))
+    work.drop(index)
+    rest = [c for c in stored.columns if c not in ("text_sha256", "shard", "offset")]
+    place = stored.groupBy("text_sha256").agg(F.min(F.struct("shard", "offset", *rest)).alias("m"))
     small = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), key.alias("text_sha256"))
-    out = small.join(stored, "text_sha256")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("media_read_sha256").alias("media_sha256"), "feature", F.col("media_sha256").alias("digest"), F.element_at(F.split("shard", "/"), -1).alias("shard"), "offset")
+    out = small.join(place, "text_sha256").select("doc_id", "n_bytes", "m.*")
+    low = lambda c: F.lower(F.hex(c))
+    return out.select("doc_id", "n_bytes", "payload_bytes", low("payload_sha256").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), low("media_read_sha256").alias("media_sha256"), "feature", low("media_sha256").alias("digest"), "shard", "offset")

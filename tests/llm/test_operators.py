@@ -135,12 +135,12 @@ def test_shards_are_tar_files(docs):
     import tarfile
 
     work = shared.Workspace(docs.sparkSession, "t")
-    rows = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    rows = docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_sha256"), F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
     index = work.keep(media.write_shards(rows, f"{work.root}/s")).collect()
     for name in {r.shard for r in index}:
-        with tarfile.open(name) as t:
+        with tarfile.open(f"{work.root.removeprefix('file:')}/s/{name}") as t:
             members = {m.offset_data: (m.size, m.name) for m in t.getmembers()}
-        assert {r.offset: (r.length, f"{r.media_sha256}.png") for r in index if r.shard == name} == members
+        assert {r.offset: (r.length, f"{r.media_sha256.hex()}.png") for r in index if r.shard == name} == members
 
 
 # sharding
