@@ -159,3 +159,41 @@ def test_reference_scale_corpus_compiles():
         pytest.skip("no rule corpus here")
     rs, loaded, skipped = load_rules(root)
     assert loaded > 3000 and skipped < 100
+
+
+def test_stream_ingest(spark, tmp_path):
+    from emberlog.sources.store import Store
+    from emberlog.streaming.ingest import ingest, read_ndjson
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"endpoint_id": "e1", "EventID": 4625}\n{"CommandLine": "invoke"}\n')
+    engine, store = detect.Engine(compile_rules([RULES]), JsonEvents()), Store(spark, str(tmp_path / "store"))
+    q = ingest(read_ndjson(spark, str(tmp_path / "in")), lambda: engine, store, str(tmp_path / "cp"), {"availableNow": True})
+    q.awaitTermination(120)
+    assert store.read("events").count() == 2
+    assert sorted(r.rule_id for r in store.read("detections").collect()) == [1, 5]
+    assert [r.endpoint_id for r in store.read("endpoints").collect()] == ["e1"]
+
+
+def test_feeds(spark):
+    from emberlog.sources import feeds
+
+    one = lambda d: spark.createDataFrame([(json.dumps(d),)], "event string")
+    w = feeds.windows_feed(one({"@timestamp": "t", "host": {"name": "h", "ip": "1"}, "winlog": {"event_id": 1, "event_data": {"Image": "x.exe"}}})).first().asDict()
+    assert (w["endpoint_id"], w["host_name"], w["event_id"], w["event_data.Image"], w["agent.version"]) == ("h", "h", "1", "x.exe", feeds.WINDOWS_AGENT)
+    j = feeds.journal_feed(one({"_MACHINE_ID": "m", "_HOSTNAME": "h", "_EXE": "/bin/x"})).first()
+    assert (j.endpoint_id, j.hostname, j.message, j.Image, j.event.service) == ("m", "h", "", "/bin/x", "sshd")
+    a = feeds.audit_parse(spark.createDataFrame([("garbage",)], "message string")).first()
+    assert a.timestamp is None and a.seqno is None
+
+
+def test_risk_and_advice(spark):
+    d = spark.createDataFrame([("p", "lateral_movement", "critical", 1.0, "2024-01-01 00:00:00"), ("p", "x", "critical", 1.0, "2024-01-01 00:00:00"), ("q", "x", "low", 0.5, "2023-01-01 00:00:00")], "process_key string, rule_name string, severity string, confidence double, t string").withColumn("ts", F.to_timestamp("t"))
+    p = spark.createDataFrame([("p", "cmd.exe", ""), ("q", "a", "")], "process_key string, executable string, command_line string")
+    now = F.lit("2024-01-01 00:01:00").cast("timestamp")
+    scores = proctree.risk_scores(d, p, now)
+    got = {r.process_key: r for r in scores.withColumn("advice", proctree.recommendations(F.col("risk"), F.col("threats"))).collect()}
+    assert got["p"].score == pytest.approx(2.2) and got["p"].risk == "critical" and len(got["p"].advice) == 5
+    assert got["q"].score == pytest.approx(0.5) and got["q"].risk == "low" and got["q"].advice == []
+    assert [r.process_key for r in proctree.high_risk(proctree.unexpired(scores, now)).collect()] == ["p"]
+    assert proctree.risk_stats(scores).first().total == 2
