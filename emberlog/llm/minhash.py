@@ -262,15 +262,19 @@ def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspa
     outside = left.where(F.col("comp") != F.col("most")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("place", F.lit(-1))
     dealt = own.unionByName(outside).select("band", "block", "which", "node", "comp", "minima", "ztext", "place")
     more = work.keep(dealt.groupBy("band", "block").applyInArrow(_rest(size, percent), "u binary, v binary").distinct())
-    return components(joined.unionByName(more), work)
+    roots = work.keep(components(joined.unionByName(more), work))
+    for used in (nodes, members, texts, links, joined, labelled, more):
+        work.drop(used)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "minhash") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     work = shared.Workspace(docs.sparkSession, name)
     signed = work.keep(signatures(docs, size))
-    roots = work.keep(linked_sets(signed, size, percent, work))
-    rows = signed.select(F.col("row_key").alias("doc_id"), "set_key", "n_shingles")
+    roots = linked_sets(signed, size, percent, work)
+    rows = work.keep(signed.select(F.col("row_key").alias("doc_id"), "set_key", "n_shingles"))
+    work.drop(signed)
     some = rows.where(F.col("n_shingles") > 0).join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = some.join(least, "root").select("doc_id", "n_shingles", "component_id")
