@@ -1,15 +1,21 @@
 """PII: detection and surrogate generation, by DataFrame operations only.
 
 Entities (e-mail addresses, telephone numbers, card numbers, IPv4 addresses, social security numbers, persons
-with a title or a known given name) are found by patterns.  Every distinct entity of the corpus gets one keyed surrogate of
-the same type, so mentions of one entity stay mentions of one: numbers keep their punctuation and length (cards
-keep a valid check digit, addresses the range 0-255), names keep gender and script, letter case is kept.
-
-Distinctness: surrogates are proposed from a keyed hash of (type, entity, attempt).  A proposal that two entities
-of a type share, or that is itself an entity of the corpus, is a collision; the entity with the smallest hash
-keeps a shared one, and the others propose anew.  It ends when none is left; with ever longer proposals from the
-fourth attempt on, that is soon.  The mapping is a table, joined on the entity; no part of it is collected or
-broadcast.
+with a title or a known given name) are found by patterns.  Every mention is taken to whom or what it names, in all the
+corpus: an address is one in any letter case, a card, telephone or security number in any layout (a ten-digit
+telephone number without a country code is the one with +1), a person with or without title.  A family
+name has one surrogate, with which full names are composed, so that 'Mr Peter Muller', 'Peter Muller' and 'Mr Muller'
+stay as related as they were; which of several Mullers a bare 'Mr Muller' is, no text says and none is chosen.
+
+Each of these gets one keyed surrogate of its type, given in the mention's format: numbers keep their punctuation and
+length (cards keep a valid check digit, addresses the range 0-255, telephone numbers the country code), names keep title,
+gender and script, words and addresses in capitals stay so.
+
+Distinctness: surrogates are proposed from a keyed hash of (type, who, attempt).  A proposal that two of a
+type share, or that is itself one of the corpus, is a collision; the one with the smallest hash
+keeps a shared one, and the others propose anew (given names only collide within their family name).  It ends when none
+is left; with ever longer proposals from the fourth attempt on, that is soon.  The mapping is a table, joined on the
+entity; no part of it is collected or broadcast.
 
 Only rows with an entity take part in the joins, keyed by a digest of the text, so copies are done once.
 
@@ -60,6 +66,12 @@ ANY = TYPES["email"] + "|(?=[0-9+(])(?:" + "|".join(f"(?:{TYPES[t]})" for t in (
 HINT = rf"(?=[@0-9A-ZА-Я])(?:@|[0-9]{{3}}|[0-9]\.[0-9]|{_CAPITAL}(?:{TYPES['person']}))"
 
 
+_TITLE = rf"^(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?\x20"
+_CYRILLIC = "[А-Яа-яЁё]"
+#: Country codes are a prefix code, so the digits alone tell them.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def kind_of(entity: Column) -> Column:
     out = F.lit("person")
     for name in reversed([t for t in TYPES if t != "person"]):
@@ -85,10 +97,10 @@ def _pick(values: list[str], seed: Column, salt: int) -> Column:
 
 
 def _invented(seed: Column, script: str, attempt: Column) -> Column:
-    """A family name of three syllables, longer from the fourth attempt on."""
-    base = F.concat(*[_pick(SYLLABLES[script], seed, 20 + k) for k in range(3)])
-    more = F.concat(*[_pick(SYLLABLES[script], seed, 30 + k) for k in range(3)])
-    return F.initcap(F.when(attempt < 3, base).otherwise(F.concat(base, more)))
+    """A family name in small letters: three syllables, three more from each third attempt on."""
+    known = F.array(*[F.lit(v) for v in SYLLABLES[script]])
+    n = F.lit(3) + F.floor(attempt / 3).cast("int") * 3
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: F.element_at(known, (F.pmod(F.xxhash64(seed, F.lit(20) + k), F.size(known)) + 1).cast("int"))), "")
 
 
 def _luhn(first: Column) -> Column:
@@ -104,53 +116,100 @@ def _valid_card(digits: Column) -> Column:
     return _luhn(F.substring(digits, 1, 15)) == F.substring(digits, 16, 1)
 
 
-def propose(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The keyed proposal for an entity: type, format, gender and script as the entity's."""
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, F.when(kind == "email", F.lower(entity)).otherwise(entity), attempt.cast("string")), 256)
+def _gender(title: Column, head: Column) -> tuple[Column, Column]:
+    """What a title tells, and what a given name in small letters tells."""
+    bare = F.rtrim(F.regexp_replace(title, r"\.", ""))
+    known = {g: [n.lower() for (_, x), ns in GIVEN.items() if x == g for n in ns] for g in "fm"}
+    return tuple(F.when(c.isin(f), F.lit("f")).when(c.isin(m), F.lit("m")) for c, f, m in ((bare, TITLES["f"], TITLES["m"]), (head, known["f"], known["m"])))
+
+
+def canonical(entities: DataFrame) -> DataFrame:
+    """kind and entity, and whom they name: ``type`` and ``who``; of persons also title, family and the genders told."""
+    kind, entity = F.col("kind"), F.col("entity")
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    phone = F.when(entity.startswith("+"), F.concat(F.lit("+"), digits)).when(digits.rlike("^[2-9][0-9]{9}$"), F.concat(F.lit("+1"), digits)).otherwise(digits)
+    title = F.when(kind == "person", F.regexp_extract(entity, _TITLE, 0))
+    name = F.lower(F.substring(entity, F.length(title) + 1, F.length(entity)))
+    by_title, by_given = _gender(title, F.substring_index(name, " ", 1))
+    return entities.select(
+        "kind", "entity", F.when((kind == "person") & ~name.contains(" "), F.lit("family")).otherwise(kind).alias("type"),
+        F.when(kind == "person", name).when(kind == "email", F.lower(entity)).when(kind == "phone", phone).when(kind == "ip", entity).otherwise(digits).alias("who"),
+        title.alias("title"), F.substring_index(name, " ", -1).alias("family"), by_title.alias("by_title"), by_given.alias("by_given"),
+    )
+
+
+def propose(kind: Column, who: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """The keyed proposal for a canonical entity, itself canonical; for a full name a given name before the family's own."""
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, who, attempt.cast("string")), 256)
     digits = _digits(seed, 24)
-    plain = F.regexp_replace(entity, "[^0-9]", "")
     own15 = F.substring(digits, 1, 15)
-    card_digits = F.when(_valid_card(plain), F.concat(own15, _luhn(own15))).otherwise(F.substring(digits, 1, 16))
+    card = F.when(_valid_card(who), F.concat(own15, _luhn(own15))).otherwise(F.substring(digits, 1, 16))
     octet = lambda k: F.pmod(F.xxhash64(seed, F.lit(50 + k)), F.lit(254)) + 1
-    email = F.concat(F.lower(_invented(seed, "latin", attempt)), F.lit("."), F.substring(digits, 1, 4), F.lit("@"), F.lower(F.concat(*[_pick(SYLLABLES["latin"], seed, 40 + k) for k in range(3)])), F.lit(".example"))
-    area = F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
-    phone = F.concat(area, _like(F.substring(entity, F.length(area) + 1, F.length(entity)), digits))
-    cyr = entity.rlike("[А-Яа-я]")
-    title = F.regexp_extract(entity, rf"^(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?\x20", 0)
-    rest = F.substring(entity, F.length(title) + 1, F.length(entity))
-    head = F.regexp_extract(rest, r"^[^\x20]+", 0)
-    has_two = rest.contains(" ")
-    by_title = F.when(F.rtrim(F.regexp_replace(title, r"\.", "")).isin(TITLES["f"]), F.lit("f")).when(F.rtrim(F.regexp_replace(title, r"\.", "")).isin(TITLES["m"]), F.lit("m"))
-    women = [n for (_, g), ns in GIVEN.items() if g == "f" for n in ns]
-    men = [n for (_, g), ns in GIVEN.items() if g == "m" for n in ns]
-    gender = F.coalesce(by_title, F.when(head.isin(women), F.lit("f")).when(head.isin(men), F.lit("m")), F.when(F.pmod(F.xxhash64(seed, F.lit(60)), F.lit(2)) == 0, F.lit("f")).otherwise(F.lit("m")))
+    email = F.concat(_invented(seed, "latin", attempt), F.lit("."), F.substring(digits, 1, 4), F.lit("@"), F.concat(*[_pick(SYLLABLES["latin"], seed, 40 + k) for k in range(3)]), F.lit(".example"))
+    area = F.regexp_extract(who, _COUNTRY, 0)
+    first = F.substring(who, F.length(area) + 1, F.lit(1))
+    first = F.when(first.isin("0", "1"), first).otherwise((F.pmod(F.xxhash64(seed, F.lit(70)), F.lit(8)) + 2).cast("string"))  # what tells a national number from others
+    phone = F.concat(area, first, F.substring(digits, F.lit(2), F.length(who) - F.length(area) - 1))
+    cyr = who.rlike(_CYRILLIC)
+    gender = F.coalesce(gender, F.when(F.pmod(F.xxhash64(seed, F.lit(60)), F.lit(2)) == 0, F.lit("f")).otherwise(F.lit("m")))
     given = F.when(cyr & (gender == "f"), _pick(GIVEN["cyrillic", "f"], seed, 10)).when(cyr, _pick(GIVEN["cyrillic", "m"], seed, 11)).when(gender == "f", _pick(GIVEN["latin", "f"], seed, 12)).otherwise(_pick(GIVEN["latin", "m"], seed, 13))
     family = F.when(cyr, _invented(seed, "cyrillic", attempt)).otherwise(_invented(seed, "latin", attempt))
-    family = F.when(cyr & (gender == "f") & rest.rlike("[ая]$"), F.concat(family, F.lit("ва"))).otherwise(family)
-    person = F.concat(title, F.when(has_two, F.concat(given, F.lit(" "), family)).otherwise(family))
-    return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *[octet(k).cast("string") for k in range(4)])).when(kind == "card", _like(entity, card_digits)).when(kind == "phone", phone).when(kind == "ssn", _like(entity, digits)).otherwise(person)
+    given = F.lower(F.when(attempt < 3, given).otherwise(F.concat(given, F.lit("-"), family)))
+    person = F.concat(given, F.lit(" "), F.substring_index(who, " ", -1))
+    return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *[octet(k).cast("string") for k in range(4)])).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", F.substring(digits, 1, 9)).when(kind == "family", family).otherwise(person)
 
 
-def surrogates(entities: DataFrame, key: str, work: shared.Workspace) -> DataFrame:
-    """entities(kind, entity), distinct, to (kind, entity, surrogate), each surrogate once in its type and no entity of the corpus."""
-    todo = entities.withColumn("attempt", F.lit(0))
+def _cased(like: Column, word: Column) -> Column:
+    """A name's word with capitals as in the mention's: all or the first of each part."""
+    return F.when((F.upper(like) == like) & (F.length(like) > 1), F.upper(word)).otherwise(F.array_join(F.transform(F.split(word, "-"), F.initcap), "-"))
+
+
+def _rendered(given: Column, family: Column) -> Column:
+    """A row of ``canonical`` with its surrogate, in the format of the mention."""
+    kind, entity, title = F.col("kind"), F.col("entity"), F.col("title")
+    number = F.regexp_replace("surrogate", "[^0-9]", "")
+    digits = F.right(number, F.length(F.regexp_replace(entity, "[^0-9]", "")))
+    name = F.substring(entity, F.length(title) + 1, F.length(entity))
+    ending = F.when(F.col("family").rlike("[ая]$") & (F.coalesce("by_title", "by_given") == "f"), F.concat(family, F.lit("ва"))).otherwise(family)
+    person = F.concat(title, F.when(F.col("type") == "person", F.concat(_cased(F.substring_index(name, " ", 1), given), F.lit(" "))).otherwise(""), _cased(F.substring_index(name, " ", -1), ending))
+    email = F.when(F.upper(entity) == entity, F.upper("surrogate")).otherwise(F.col("surrogate"))
+    return F.when(kind == "person", person).when(kind == "email", email).when(kind == "ip", F.col("surrogate")).otherwise(_like(entity, digits))
+
+
+def _settle(ids: DataFrame, key: str, work: shared.Workspace) -> DataFrame:
+    """ids(type, who, gender), distinct, to (type, who, surrogate), each surrogate once in its type and none of the corpus."""
+    todo = ids.withColumn("attempt", F.lit(0))
     settled: DataFrame | None = None
     attempt = 0
     while True:
-        asked = work.keep(todo.select("kind", "entity", "attempt").withColumn("surrogate", propose(F.col("kind"), F.col("entity"), F.col("attempt"), key)))
-        known = entities.select("kind", F.col("entity").alias("surrogate"))
-        free = asked.join(known, ["kind", "surrogate"], "left_anti")
+        asked = work.keep(todo.withColumn("surrogate", propose(F.col("type"), F.col("who"), F.col("gender"), F.col("attempt"), key)))
+        known = ids.select("type", F.col("who").alias("surrogate"))
+        free = asked.join(known, ["type", "surrogate"], "left_anti")
         if settled is not None:
-            free = free.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        first = Window.partitionBy("kind", "surrogate").orderBy(F.xxhash64("entity"), "entity")
-        won = work.keep(free.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("kind", "entity", "surrogate"))
+            free = free.join(settled.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
+        first = Window.partitionBy("type", "surrogate").orderBy(F.xxhash64("who"), "who")
+        won = work.keep(free.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("type", "who", "surrogate"))
         settled = won if settled is None else work.keep(settled.unionByName(won))
         attempt += 1
-        todo = work.keep(asked.join(won, ["kind", "entity"], "left_anti").select("kind", "entity", F.lit(attempt).alias("attempt")))
+        todo = work.keep(asked.join(won, ["type", "who"], "left_anti").select("type", "who", "gender", F.lit(attempt).alias("attempt")))
         if todo.isEmpty():
             return settled
 
 
+def surrogates(entities: DataFrame, key: str, work: shared.Workspace) -> DataFrame:
+    """entities(kind, entity), distinct, to (kind, entity, surrogate); mentions of one canonical entity get the same in their formats."""
+    named = work.keep(canonical(entities))
+    told = F.when(F.min("by_title") == F.max("by_title"), F.min("by_title"))  # titles that contradict each other tell nothing
+    ids = named.groupBy("type", "who").agg(F.coalesce(told, F.min("by_given")).alias("gender"))
+    families = named.where("type = 'person'").select(F.lit("family").alias("type"), F.col("family").alias("who"), F.lit(None).cast("string").alias("gender"))
+    settled = _settle(work.keep(ids.unionByName(families).groupBy("type", "who").agg(F.min("gender").alias("gender"))), key, work)
+    found = named.join(settled, ["type", "who"])
+    last = settled.where("type = 'family'").select(F.col("who").alias("family"), F.col("surrogate").alias("_last"))
+    full = found.where("type = 'person'").join(last, "family").select("kind", "entity", _rendered(F.substring_index("surrogate", " ", 1), F.col("_last")).alias("surrogate"))
+    other = found.where("type <> 'person'").select("kind", "entity", _rendered(F.col("surrogate"), F.col("surrogate")).alias("surrogate"))
+    return work.keep(full.unionByName(other))
+
+
 def replace_entities(docs: DataFrame, columns: list[str], key: str = "corpus", name: str = "pii") -> DataFrame:
     """The named columns with text replaced, and n_entities."""
     work = shared.Workspace(docs.sparkSession, name)

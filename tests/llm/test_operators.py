@@ -358,6 +358,34 @@ def test_surrogates_are_distinct(spark, monkeypatch):
     assert len({r.surrogate for r in out}) == len(out) == 60
 
 
+def surrogate_texts(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(pii.replace_entities(rows, ["doc_id", "text"]).collect())]
+
+
+def test_pii_one_entity_in_several_spellings(spark):
+    names = ["Mr Peter Muller", "Peter Muller", "Mr Muller", "Dr. Peter Muller", "Thomas Muller", "Mrs Muller", "Peter Smith", "Anna Muller"]
+    mails = ["anna.k@site.org", "ANNA.K@site.org", "ANNA.K@SITE.ORG", "anna.l@site.org"]
+    numbers = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "4012 8888 8888 1881", "+1 (555) 010-9999", "+15550109999", "555-010-9999", "555-010-9998"]
+    got = surrogate_texts(spark, [f"see {x}, " for x in names + mails + numbers])
+    got = [x.removeprefix("see ").removesuffix(", ") for x in got]
+    a, b, c, d, other, wife, smith, anna = got[:8]
+    given, family = b.split(" ")
+    assert a == f"Mr {b}" and c == f"Mr {family}" and d == f"Dr. {b}" and wife == f"Mrs {family}"
+    assert other.split(" ")[1] == anna.split(" ")[1] == family and len({b, other, anna}) == 3 and family not in smith
+    low, mixed, high, second = got[8:12]
+    assert low == mixed == high.lower() and high == low.upper() and low != second
+    digits = [re.sub("[^0-9]", "", x) for x in got[12:]]
+    assert digits[0] == digits[1] == digits[2] != digits[3] and luhn(digits[0])
+    assert digits[4] == digits[5] == "1" + digits[6] and digits[6] != digits[7] and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[16])
+    assert not set(got) & set(names + mails + numbers)
+
+
+def test_given_names_are_distinct_in_a_family(spark):
+    people = [f"Mr {a}{b} Muller" for a in "ABCDEFG" for b in ("da", "do", "du", "ra", "ro", "ru")]
+    assert len(set(surrogate_texts(spark, people))) == len(people)
+
+
 # near duplicates
 def brute_components(rows, size):
     sets = []
