@@ -40,15 +40,39 @@ GIVEN = {
 TITLES = {"f": "Mrs Ms Frau Mme Sra".split(), "m": "Mr Herr Sr".split(), "": "Dr Prof".split()}
 SYLLABLES = {"latin": "ba be bo da de do fa ga ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va vo".split(), "cyrillic": "ба бо ва во га го да до ка ко ла ло ма мо на но па по ра ро са со та то фа ха".split()}
 
-_NAME = r"[A-Z][a-z]+(?:-[A-Z][a-z]+)?"
-_CYR = r"[А-Я][а-я]+"
+# A name goes over an apostrophe only before three letters, so a possessive or contracted ending is no part of it.
+_PART = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{L}{3}))+"
+_NAME = rf"{_PART}(?:-{_PART})?"
+_CYR = "[А-ЯЁ][А-ЯЁа-яё]+(?:-[А-ЯЁ][А-ЯЁа-яё]+)?"
 
 
 def _person() -> str:
     titles = "|".join(t for ts in TITLES.values() for t in ts)
     latin = "|".join(n for (s, _), ns in GIVEN.items() if s == "latin" for n in ns)
     cyr = "|".join(n for (s, _), ns in GIVEN.items() if s == "cyrillic" for n in ns)
-    return rf"\b(?:{titles})\.?\x20{_NAME}(?:\x20{_NAME})?\b|\b(?:{latin})\x20{_NAME}\b|(?<![А-Яа-я])(?:{cyr})\x20{_CYR}"
+    before, after = r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}\p{N}_])"
+    return rf"{before}(?:(?:{titles})\.?\x20{_NAME}(?:\x20{_NAME})?{after}|(?:{latin})\x20{_NAME}{after}|(?:{cyr})\x20{_CYR})"
+
+
+# Cards of other lengths than 16 only by the prefixes that have them, the longer ones first; so other long numbers stay.
+_CARDS = (
+    r"(?:5[06-8]|6[237])[0-9]{2}(?:[\x20-]?[0-9]{4}){3}[\x20-]?[0-9]{3}",  # 19 digits in groups
+    r"62[0-9]{4}[\x20-][0-9]{13}",
+    r"(?:4|5[06-8]|6)[0-9]{16,18}",
+    r"4[0-9]{18}",
+    r"(?:[0-9]{4}[\x20-]?){3}[0-9]{4}",
+    r"3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}",
+    r"3(?:0[0-5]|[689][0-9])[0-9][\x20-]?[0-9]{6}[\x20-]?[0-9]{4}",
+    r"4[0-9]{3}(?:[\x20-]?[0-9]{3}){3}",
+    r"(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{9,11}",
+)
+# International numbers in any grouping: as many digits as the country's plan has where that is fixed, else 7 to 11 that end in no single one.
+_GAP = r"(?:[\x20.()/-]{0,2}(?:\(0\)\x20?)?)"
+_PHONES = (
+    rf"\+[17](?:{_GAP}[0-9]){{10}}(?![0-9])",
+    rf"\+(?:3[34]|31|41|48|351)(?:{_GAP}[0-9]){{9}}(?![0-9])",
+    rf"\+[2-9][0-9]{{1,2}}(?:{_GAP}[0-9]){{7,11}}(?<![\x20.()/-][0-9])(?![0-9])",
+)
 
 
 #: Types in the order in which a text is claimed; the first that matches at a place has it.
@@ -56,18 +80,20 @@ TYPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
+    "card": rf"(?<![0-9])(?:{'|'.join(_CARDS)})(?![0-9])",
+    "phone": rf"(?<![0-9+])(?:{'|'.join(_PHONES)})|" + r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
     "person": _person(),
 }
 _CAPITAL = "(?=[A-ZА-Я])"
 ANY = TYPES["email"] + "|(?=[0-9+(])(?:" + "|".join(f"(?:{TYPES[t]})" for t in ("ip", "ssn", "card", "phone")) + f")|{_CAPITAL}(?:{TYPES['person']})"
 #: Any entity has one of these, so other texts are passed by at once; one look at a character settles most places.
-HINT = rf"(?=[@0-9A-ZА-Я])(?:@|[0-9]{{3}}|[0-9]\.[0-9]|{_CAPITAL}(?:{TYPES['person']}))"
+HINT = rf"(?=[@+0-9A-ZА-Я])(?:@|\+[0-9]|[0-9]{{3}}|[0-9]\.[0-9]|{_CAPITAL}(?:{TYPES['person']}))"
 
 
 _TITLE = rf"^(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?\x20"
 _CYRILLIC = "[А-Яа-яЁё]"
+#: The zero that is dialled only within the country.
+_TRUNK = r"\(0\)"
 #: Country codes are a prefix code, so the digits alone tell them.
 _COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
@@ -104,16 +130,13 @@ def _invented(seed: Column, script: str, attempt: Column) -> Column:
 
 
 def _luhn(first: Column) -> Column:
-    """Check digit of fifteen digits."""
-    total = F.lit(0)
-    for i in range(15):
-        d = F.substring(first, i + 1, 1).cast("int")
-        total = total + (F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2) if i % 2 == 0 else d)
-    return F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string")
+    """Check digit after the digits given."""
+    doubled = F.transform(F.split(F.reverse(first), ""), lambda c, i: F.when(i % 2 == 1, c.cast("int")).when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2))
+    return F.pmod(F.lit(10) - F.aggregate(doubled, F.lit(0), lambda x, d: x + d) % 10, F.lit(10)).cast("string")
 
 
 def _valid_card(digits: Column) -> Column:
-    return _luhn(F.substring(digits, 1, 15)) == F.substring(digits, 16, 1)
+    return _luhn(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1))
 
 
 def _gender(title: Column, head: Column) -> tuple[Column, Column]:
@@ -127,9 +150,9 @@ def canonical(entities: DataFrame) -> DataFrame:
     """kind and entity, and whom they name: ``type`` and ``who``; of persons also title, family and the genders told."""
     kind, entity = F.col("kind"), F.col("entity")
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    phone = F.when(entity.startswith("+"), F.concat(F.lit("+"), digits)).when(digits.rlike("^[2-9][0-9]{9}$"), F.concat(F.lit("+1"), digits)).otherwise(digits)
+    phone = F.when(entity.startswith("+"), F.concat(F.lit("+"), F.regexp_replace(F.regexp_replace(entity, _TRUNK, ""), "[^0-9]", ""))).when(digits.rlike("^[2-9][0-9]{9}$"), F.concat(F.lit("+1"), digits)).otherwise(digits)
     title = F.when(kind == "person", F.regexp_extract(entity, _TITLE, 0))
-    name = F.lower(F.substring(entity, F.length(title) + 1, F.length(entity)))
+    name = F.translate(F.lower(F.substring(entity, F.length(title) + 1, F.length(entity))), "’", "'")
     by_title, by_given = _gender(title, F.substring_index(name, " ", 1))
     return entities.select(
         "kind", "entity", F.when((kind == "person") & ~name.contains(" "), F.lit("family")).otherwise(kind).alias("type"),
@@ -142,8 +165,10 @@ def propose(kind: Column, who: Column, gender: Column, attempt: Column, key: str
     """The keyed proposal for a canonical entity, itself canonical; for a full name a given name before the family's own."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, who, attempt.cast("string")), 256)
     digits = _digits(seed, 24)
-    own15 = F.substring(digits, 1, 15)
-    card = F.when(_valid_card(who), F.concat(own15, _luhn(own15))).otherwise(F.substring(digits, 1, 16))
+    prefix = F.when(F.length(who) == 16, "").otherwise(F.substring(who, 1, 4))  # other lengths are cards by their prefix
+    free = F.length(who) - F.length(prefix)
+    most = F.concat(prefix, F.substring(digits, F.lit(1), free - 1))
+    card = F.when((kind == "card") & _valid_card(who), F.concat(most, _luhn(most))).otherwise(F.concat(prefix, F.substring(digits, F.lit(1), free)))
     octet = lambda k: F.pmod(F.xxhash64(seed, F.lit(50 + k)), F.lit(254)) + 1
     email = F.concat(_invented(seed, "latin", attempt), F.lit("."), F.substring(digits, 1, 4), F.lit("@"), F.concat(*[_pick(SYLLABLES["latin"], seed, 40 + k) for k in range(3)]), F.lit(".example"))
     area = F.regexp_extract(who, _COUNTRY, 0)
@@ -168,12 +193,13 @@ def _rendered(given: Column, family: Column) -> Column:
     """A row of ``canonical`` with its surrogate, in the format of the mention."""
     kind, entity, title = F.col("kind"), F.col("entity"), F.col("title")
     number = F.regexp_replace("surrogate", "[^0-9]", "")
-    digits = F.right(number, F.length(F.regexp_replace(entity, "[^0-9]", "")))
+    shape = F.when(kind == "phone", F.regexp_replace(entity, _TRUNK, "(\x01)")).otherwise(entity)
+    digits = F.right(number, F.length(F.regexp_replace(shape, "[^0-9]", "")))
     name = F.substring(entity, F.length(title) + 1, F.length(entity))
     ending = F.when(F.col("family").rlike("[ая]$") & (F.coalesce("by_title", "by_given") == "f"), F.concat(family, F.lit("ва"))).otherwise(family)
     person = F.concat(title, F.when(F.col("type") == "person", F.concat(_cased(F.substring_index(name, " ", 1), given), F.lit(" "))).otherwise(""), _cased(F.substring_index(name, " ", -1), ending))
     email = F.when(F.upper(entity) == entity, F.upper("surrogate")).otherwise(F.col("surrogate"))
-    return F.when(kind == "person", person).when(kind == "email", email).when(kind == "ip", F.col("surrogate")).otherwise(_like(entity, digits))
+    return F.when(kind == "person", person).when(kind == "email", email).when(kind == "ip", F.col("surrogate")).otherwise(F.regexp_replace(_like(shape, digits), r"\(\x01\)", "(0)"))
 
 
 def _settle(ids: DataFrame, key: str, work: shared.Workspace) -> DataFrame:

@@ -386,6 +386,24 @@ def test_given_names_are_distinct_in_a_family(spark):
     assert len(set(surrogate_texts(spark, people))) == len(people)
 
 
+def test_pii_of_each_language(spark):
+    found = [
+        "Frau Müller", "Herr Weiß-Lüdecke", "Mme Lefèvre", "Anna García", "Sra Núñez", "Mr McDonald", "Mr O'Neill", "Mrs O’Brien", "Иван Фёдоров", "Иван Петров-Водкин",
+        "+33 1 23 45 67 89", "+49 30 1234567", "+49 (0)30 1234567", "+34 612 345 678", "+44 20 7946 0958", "+41 44 668 18 00",
+        "3782 822463 10005", "378282246310005", "30569309025904", "4222222222222", "6304 0000 0000 0000 000", "6759649826438453",
+    ]
+    texts = [f"x {v}'s, {v}." for v in found]
+    whole = ["order 9783161484100 at 1700000000000", "Mr. president, +5 or +12 34", "el 12 345 678"]
+    got = surrogate_texts(spark, texts + whole)
+    for v, text in zip(found, got, strict=False):
+        first, second = re.fullmatch(r"x (.*)'s, (.*)\.", text).groups()
+        assert first == second != v and not set(re.findall(r"\w{4,}", v)) & set(re.findall(r"\w{4,}", first)) - {v[:4], "Frau", "Herr", "Anna", "Иван"}, (v, text)
+    by = dict(zip(found, (re.fullmatch(r"x (.*)'s.*", t)[1] for t in got), strict=False))
+    assert by["+49 (0)30 1234567"].replace("(0)", "") == by["+49 30 1234567"] and by["+33 1 23 45 67 89"].startswith("+33 ")
+    assert by["3782 822463 10005"].replace(" ", "") == by["378282246310005"] and luhn("0" + by["378282246310005"]) and luhn("000" + by["4222222222222"])
+    assert got[len(found) :] == whole
+
+
 # near duplicates
 def brute_components(rows, size):
     sets = []
