@@ -12,8 +12,8 @@ pass emits at most k rows of a query and block.
 
 Defined results: vec_id is the key of a query, and a row is never its own candidate, nor are other rows
 of the same id; where a query's id is repeated, the smallest vector stands for it.  Rows with a null
-id, a null vector, null or non-finite components, or another length than most have no part (length:
-that of the smallest-id whole row).  Fewer candidates than k: all of them.  No queries or no
+id, a null vector, null or non-finite components have no part.  Vectors are compared with those of their own
+length only, so every length is searched, each by itself; empty vectors score 0 with each other.  Fewer candidates than k: all of them.  No queries or no
 candidates: no rows.
 """
 
@@ -46,43 +46,48 @@ def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.select(rows["vec_id"].cast("long").alias("vec_id"), rows["embedding"].alias("embedding")).where(ok).select("vec_id", ints.alias("v"))
 
 
-def blocks(vectors: DataFrame, rows: int, number: str, n: int) -> DataFrame:
-    """Packs vectors into blocks by a hash of the id and the vector: block number, ids and values as bytes."""
-    count = max(1, -(-n // rows))
+def lengths(vectors: DataFrame, rows: int) -> DataFrame:
+    """d, count: each length and its number of blocks; a row of each length only."""
+    return vectors.groupBy(F.size("v").alias("d")).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("count"))
+
+
+def blocks(vectors: DataFrame, rows: int, number: str) -> DataFrame:
+    """Packs vectors of a length into blocks by a hash of the id and the vector: length, block number, ids and values as bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
         values: list[np.ndarray] = []
-        current, k = None, 0
+        current, k = (0, 0), 0
 
         def out() -> Iterator[pa.RecordBatch]:
             i, v = np.concatenate(ids), np.concatenate(values)
             for s in range(0, len(i), 2 * rows):  # a block that many equal rows fell into is given in parts
-                yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([s // (2 * rows)], pa.int32()), pa.array([i[s : s + 2 * rows].tobytes()], pa.binary()), pa.array([v[s : s + 2 * rows].tobytes()], pa.binary())], names=[number, "part", "ids", "vals"])
+                yield pa.RecordBatch.from_arrays([pa.array([current[0]], pa.int32()), pa.array([current[1]], pa.int32()), pa.array([s // (2 * rows)], pa.int32()), pa.array([i[s : s + 2 * rows].tobytes()], pa.binary()), pa.array([v[s : s + 2 * rows].tobytes()], pa.binary())], names=["d", number, "part", "ids", "vals"])
 
         for b in batches:
-            blk = b.column(0).to_numpy(zero_copy_only=False)
-            vec = b.column(2)
-            flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(b.num_rows, -1)
-            own = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(blk[1:] != blk[:-1]) + 1), b.num_rows]
+            d, blk = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            flat = b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(d, dtype=np.int64)])
+            own = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = [0, *(np.flatnonzero((d[1:] != d[:-1]) | (blk[1:] != blk[:-1])) + 1), b.num_rows]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if s == e:
                     continue
-                if current is not None and (blk[s] != current or k >= 2 * rows):
+                if ids and ((d[s], blk[s]) != current or k >= 2 * rows):
                     yield from out()
                     ids, values, k = [], [], 0
-                current = int(blk[s])
+                current = (int(d[s]), int(blk[s]))
                 ids.append(own[s:e])
-                values.append(flat[s:e])
+                values.append(flat[at[s] : at[e]].reshape(e - s, d[s]))
                 k += e - s
-        if current is not None and ids:
+        if ids:
             yield from out()
 
-    spread = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int").alias(number), "vec_id", "v")
-    packed = spread.repartition(number).sortWithinPartitions(number).mapInArrow(pack, f"{number} int, part int, ids binary, vals binary")
+    counted = vectors.withColumn("d", F.size("v")).join(F.broadcast(lengths(vectors, rows)), "d")
+    spread = counted.select("d", F.pmod(F.xxhash64("vec_id", "v"), F.col("count")).cast("int").alias(number), "vec_id", "v")
+    packed = spread.repartition("d", number).sortWithinPartitions("d", number).mapInArrow(pack, f"d int, {number} int, part int, ids binary, vals binary")
     # numbers of parts of one block must differ
-    return packed.select(number, F.monotonically_increasing_id().alias("part"), "ids", "vals")
+    return packed.select("d", number, F.monotonically_increasing_id().alias("part"), "ids", "vals")
 
 
 def _unpack(ids: bytes, vals: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -160,13 +165,12 @@ def top_k(rows: DataFrame, k: int, is_query, name: str = "topk") -> DataFrame:
     spark = rows.sparkSession
     work = shared.Workspace(spark, name)
     vectors = work.keep(whole_vectors(rows))
-    first = vectors.agg(F.min(F.struct("vec_id", F.size("v").alias("d"))).alias("m")).first()
-    dim = first["m"]["d"] if first["m"] else 0
-    vectors = vectors.where(F.size("v") == dim)
     queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, nq = vectors.count(), queries.count()
-    cands = work.keep(blocks(vectors, ROWS, "cblock", n))
-    qs = work.keep(blocks(queries, QUERIES, "qblock", nq).select("qblock", F.col("part").alias("qpart"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals")))
+    if queries.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cands = work.keep(blocks(vectors, ROWS, "cblock"))
+    n_cblocks = work.keep(lengths(vectors, ROWS))
+    qs = work.keep(blocks(queries, QUERIES, "qblock").select("d", "qblock", F.col("part").alias("qpart"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals")))
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,19 +179,16 @@ def top_k(rows: DataFrame, k: int, is_query, name: str = "topk") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(i), pa.int64()), pa.array(range(len(i)), pa.int32()), pa.array(i)], names=["qpart", "pos", "query_id"])
 
     places = work.keep(qs.select("qblock", "qpart", "q_ids").mapInArrow(ids_of, "qpart long, pos int, query_id long"))
-    n_cblocks = max(1, -(-n // ROWS))
 
     def meet(state: DataFrame | None) -> DataFrame:
-        """Every block of queries with every block of candidates, by the candidate block's number."""
+        """Every block of queries with every block of candidates of its length, by the candidate block's number."""
         q = qs
         if state is not None:
             packed = places.join(state, "query_id").groupBy("qpart").agg(F.sort_array(F.collect_list(F.struct("pos", "lo", "step"))).alias("s"))  # bounded by a block
-            q = qs.join(packed, "qpart").select("qpart", "q_ids", "q_vals", F.col("s.lo").alias("lo"), F.col("s.step").alias("step"))
-        q = q.withColumn("cblock", F.explode(F.sequence(F.lit(0), F.lit(n_cblocks - 1))))
-        return cands.select("cblock", "ids", "vals").join(q, "cblock")
+            q = qs.join(packed, "qpart").select("d", "qpart", "q_ids", "q_vals", F.col("s.lo").alias("lo"), F.col("s.step").alias("step"))
+        q = q.join(F.broadcast(n_cblocks), "d").withColumn("cblock", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).drop("count")
+        return cands.select("d", "cblock", "ids", "vals").join(q, ["d", "cblock"])
 
-    if not n or not nq:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     ranged = meet(None).select("q_ids", "q_vals", "ids", "vals").mapInArrow(_extremes, "query_id long, low long, high long").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     step = F.greatest(F.ceil((F.col("high").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)") + 1) / F.lit(BINS)).cast("long"), F.lit(1))
     state = work.keep(ranged.select("query_id", F.col("low").alias("lo"), step.alias("step"), F.lit(k).cast("long").alias("need")))

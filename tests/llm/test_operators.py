@@ -237,6 +237,20 @@ def test_top_k(spark, monkeypatch):
     assert topk.scores(big, big)[0, 0] == 2**62
 
 
+def test_top_k_of_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 16)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rows = [(-1, []), (1, [1.0]), *[(100 + i, [float(i % 7), float(i), 1.0]) for i in range(101)], (300, [2.0, 2.0]), (301, [1.0, 3.0]), (302, [4.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(df, 3, F.col("vec_id") % 100 == 0).collect())
+    want = []
+    for q, e in rows:
+        if q % 100 == 0:
+            s = sorted((-sum(int(a * 1024) * int(b * 1024) for a, b in zip(e, f, strict=True)), c) for c, f in rows if c != q and len(f) == len(e))
+            want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s[:3])]
+    assert got == sorted(want) and len(got) == 8
+
+
 # toxicity
 def test_gradients():
     r = np.random.RandomState(0)
