@@ -227,10 +227,12 @@ def recommendations(risk: Column, threats: Column) -> Column:
     return F.flatten(F.array_compact(F.array(*level, *threat)))
 
 
-def report(row: dict, pairs: list[dict], found: list[dict]) -> str:
-    """The text report of one endpoint's analysis."""
-    lines = ["Process Tree Analysis Report", f"Endpoint: {row['endpoint_id']}", f"Total Processes: {row['total']}", f"Suspicious Processes: {row['suspicious']}", f"Tree Depth: {row['tree_depth']}", f"Root Processes: {row['roots']}", f"Orphan Processes: {row['orphans']}", "", f"Suspicious Chains: {len(pairs)}"]
-    lines += [f"  {i}. {p['description']} (Risk: {p['risk']}, Count: 2)" for i, p in enumerate(pairs, 1)]
-    lines += ["", f"Anomalies: {len(found)}"]
-    lines += [f"  {i}. [{a['severity']}] {a['type']}: Process {a['executable']} has {a['n']} children" for i, a in enumerate(found, 1)]
+def report(row: dict, pairs: list[dict], found: list[dict], n_pairs: int | None = None, n_found: int | None = None) -> str:
+    """The text report of one endpoint's analysis; the counts are of all, where not all are listed."""
+    n_pairs, n_found = len(pairs) if n_pairs is None else n_pairs, len(found) if n_found is None else n_found
+    more = lambda n, listed: [f"  ({n - len(listed)} more not listed)"] if n > len(listed) else []
+    lines = ["Process Tree Analysis Report", f"Endpoint: {row['endpoint_id']}", f"Total Processes: {row['total']}", f"Suspicious Processes: {row['suspicious']}", f"Tree Depth: {row['tree_depth']}", f"Root Processes: {row['roots']}", f"Orphan Processes: {row['orphans']}", "", f"Suspicious Chains: {n_pairs}"]
+    lines += [f"  {i}. {p['description']} (Risk: {p['risk']}, Count: 2)" for i, p in enumerate(pairs, 1)] + more(n_pairs, pairs)
+    lines += ["", f"Anomalies: {n_found}"]
+    lines += [f"  {i}. [{a['severity']}] {a['type']}: Process {a['executable']} has {a['n']} children" for i, a in enumerate(found, 1)] + more(n_found, found)
     return "\n".join(lines) + "\n"

@@ -17,6 +17,9 @@ from .plans.ir import EngineConfig, Ruleset
 from .sources import feeds
 from .sources.store import Store
 
+#: Entries that a report lists of each kind; it says how many more there are.
+LISTED = 1000
+
 
 class Service:
     def __init__(self, spark: SparkSession, root: str, config: EngineConfig | None = None, registry: Registry | None = None):
@@ -93,7 +96,9 @@ class Service:
         row = proctree.analysis(nodes).first()
         if row is None:
             raise KeyError(endpoint)
-        return proctree.report(row.asDict(), [r.asDict() for r in proctree.suspicious_pairs(nodes).limit(1000).collect()], [r.asDict() for r in proctree.anomalies(nodes).limit(1000).collect()])
+        pairs, found = proctree.suspicious_pairs(nodes), proctree.anomalies(nodes)
+        listed = (pairs.orderBy("key", "above", "exe", "description").limit(LISTED), found.orderBy(F.desc("n"), "executable").limit(LISTED))
+        return proctree.report(row.asDict(), *[[r.asDict() for r in x.collect()] for x in listed], pairs.count(), found.count())
 
     def suspicious(self) -> DataFrame:
         return self.process_nodes().where("suspicious").orderBy(F.desc("last_seen"), "endpoint_id", "key")

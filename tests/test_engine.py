@@ -142,6 +142,17 @@ def test_tree_cycle_and_detach(spark):
         proctree.snapshot(nodes, "zz")
 
 
+def test_report_counts_all(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("emberlog.service.LISTED", 2, raising=False)
+    rows = [("e", "", "", "1", "", "winword.exe", 1)] + [("e", "", "", str(i), "1", "powershell.exe", i) for i in range(2, 1005)]
+    df = spark.createDataFrame(rows, "endpoint_id string, entity_id string, parent_entity_id string, pid string, ppid string, executable string, seq int").select("*", F.lit("").alias("name"), F.lit("").alias("command_line"), F.timestamp_seconds(F.col("seq")).alias("ts"))
+    s = Service(spark, str(tmp_path))
+    nodes = proctree.build_nodes(df, F.timestamp_seconds(F.lit(5000)))
+    monkeypatch.setattr(s, "process_nodes", lambda: nodes)
+    text = s.analyze("e")
+    assert "Suspicious Chains: 1003\n" in text and "(1001 more not listed)" in text and "Anomalies: 1\n" in text and text.count("Office spawning") == 2
+
+
 def test_rule_directory_and_migrations(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.yml").write_text("detection: {a: {x: 1}, condition: a}")
