@@ -1,11 +1,12 @@
 """Storage that the driver and all executors share, and lineage cuts kept there.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (local tests) a
-temporary folder takes its place.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and everything runs in one
+process (local tests) a temporary folder takes its place; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberlog-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -26,13 +29,21 @@ class Workspace:
     """Tables written to the shared folder during one query.
 
     A table that is read more than once is written once: a lost executor costs its own tasks only, and
-    what was dealt out by a nondeterministic step (range sampling) stays as it was.
+    what was dealt out by a nondeterministic step (range sampling) stays as it was.  Results are lazy and may
+    read these tables until the session ends; then they go.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        path, fs = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, where: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Writes ``df`` and returns it as read back."""
@@ -48,15 +59,27 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Removes a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._emberlog_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._at(df._emberlog_path)
+        fs.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slim(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only, so that clashing extra columns of the input never meet ours."""
-    return docs.select(*[docs[c] for c in columns])
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, changed until they differ from all columns (in any letter case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
+def passed(columns: list[str], own: list[str]) -> list[str]:
+    """The columns to pass through: those named like an operator's own give way to them."""
+    mine = {c.lower() for c in own}
+    return [c for c in columns if c.lower() not in mine]
