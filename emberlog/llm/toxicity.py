@@ -5,15 +5,17 @@ the word, plus the mean of the hashed embeddings of its byte trigrams.  Both dir
 window of WINDOW words (step STEP, the last window ends with the text); attention pools the states, a
 logistic unit scores the window, and a document has its highest window's score.
 
-Training: a bounded sample of labelled rows (``TRAIN_ROWS`` of each class at most, by hash of the id; texts
-up to ``TRAIN_CHARS`` characters).  A document's label is that of its windows' maximum, so after a first
+Training: a bounded sample of labelled rows (``TRAIN_ROWS`` of each class at most, by hash of the id), of any length: a
+text beyond ``TRAIN_CHARS`` characters gives ``TRAIN_PIECES`` pieces, evenly spaced over all of it.  A document's label is that of its windows' maximum, so after a first
 round over all windows, gradients go through each document's best window.
 
 Scoring is one narrow pass.  Weights are a constant size, and so is the memory of a task: texts are cut into
 pieces of about a megabyte, in which equal words share one input vector.
 
 Defined results: null, empty and wordless texts score as one window of padding; copies score alike; with
-no labelled row of some class all scores are the share of toxic labels (0.0 without labels).
+no labelled row of some class all scores are the share of toxic labels (0.0 without labels); rows without a
+doc_id are scored and never learnt from; an empty table gives no rows; passed columns named like the results give
+way to them.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .words import U, Words, chunks
 
 WINDOW, STEP = 32, 16
 CHARS, DIM, HIDDEN, ATT = 1 << 12, 12, 8, 8
 #: A word has a vector of its own from so many documents of the sample on; others have their trigrams only.
 LEAST = 4
-TRAIN_ROWS, TRAIN_CHARS = 1000, 20_000
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_PIECES = 1000, 20_000, 20
 STEPS, BATCH, RATE = 900, 32, 0.01
 #: Steps of the vectors, by plain gradient: words that few texts have stay small.
 RATE_INPUT = {"word": 20.0, "char": 2.0}
@@ -265,7 +268,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed) -> list[tuple[s
     """The bounded training sample: TRAIN_ROWS of each class at most, of rows for which ``allowed`` (a Column on doc_id) holds."""
     usable = labels.select(labels["doc_id"], labels["toxic"]).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & allowed)
     found: list[tuple[str, int]] = []
-    texts = docs.select(docs["doc_id"], docs["text"]).where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    n, size = F.length("text"), TRAIN_CHARS // TRAIN_PIECES
+    spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PIECES - 1)), lambda k: F.substring("text", (k * (n - size) / F.lit(TRAIN_PIECES - 1)).cast("int") + 1, F.lit(size)))
+    bounded = F.when(n <= TRAIN_CHARS, F.col("text")).otherwise(F.array_join(spread, "\n"))
+    texts = docs.select(docs["doc_id"], docs["text"]).where(F.col("text").isNotNull()).select("doc_id", bounded.alias("text"))
     for label in (0, 1):
         some = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select("doc_id")
         rows = texts.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_ROWS).collect()
@@ -282,10 +288,11 @@ def fit(docs: DataFrame, labels: DataFrame, allowed):
     return train([t for t, _ in sample], y)
 
 
-def score(docs: DataFrame, model, columns: list[str]) -> DataFrame:
-    """The named columns, score and predicted; no shuffle."""
+def score(docs: DataFrame, model, columns: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The named columns, score and predicted (under the given names); no shuffle."""
     from pyspark.sql import types as T
 
+    columns = shared.passed(columns, list(names))
     rows = docs.select(docs["text"].alias("_text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(columns)])
     schema = T.StructType([*[T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(columns)], T.StructField("score", T.DoubleType())])
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
@@ -298,4 +305,4 @@ def score(docs: DataFrame, model, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], names=[*b.schema.names[1:], "score"])
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("score").alias(names[0]), (F.col("score") >= 0.5).cast("int").alias(names[1]))
