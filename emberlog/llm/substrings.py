@@ -5,18 +5,22 @@ windows that share it form a super-k-mer, which travels to the minimiser's bucke
 equal windows always meet in one bucket, however they are embedded.  There the windows are sorted by hash,
 neighbours compared word by word, and counted.
 
-Three passes over the texts, none of which shuffles them:
+Three passes over the texts:
 1. *frequent runs*: runs of M words that would load one bucket unevenly (a line that a third of all texts
-   have).  These never serve as minimisers; a window with no other run has its own hash as its key.
+   have).  These never serve as minimisers; a window with no other run among the lower quarter of hashes has its own hash as
+   its key, so the windows of a hot passage are spread over all buckets.
 2. *count*: distinct super-k-mers of each batch, once each with whether they occurred again, compressed by
    bucket.  A bucket answers with the covered stretches of each super-k-mer that has repeated windows.
 3. *locate*: super-k-mers of each distinct text of a batch by a 128-bit hash, joined to the answers.
-   This is an ordinary equi-join whose large keys Spark splits; copies in a batch are sent once.
-Last, each text meets its covered stretches under its own hash and is rewritten where it stands.
+   This is an ordinary equi-join whose large keys Spark splits; copies in a batch are sent once, and what a bitset of the
+   answers' hashes excludes isn't sent.
+Last, texts that may have covered stretches (again by a bitset, of their digests) meet them in a join; all others are
+finished where they stand.  Bitsets have a bounded size; where they fill up, more is sent and results stay.
 
 Defined results: a null text has no words; texts of fewer than K words keep all of them; whole copies
 lose every word that a window covers; a repeated row counts as another place; null or repeated doc_ids
-change nothing, as nothing is keyed by them.
+change nothing, as nothing is keyed by them; very long texts are taken whole; an empty table gives no rows; a passed
+column named like one of the results gives way to it.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 from .words import Spans, U, Words, chunks, mix, sliding_min
@@ -39,12 +44,17 @@ K, M = 35, 5
 BUCKET_BYTES, EXPANSION = 6 << 20, 3.1
 #: A run of windows is cut so that no packed string gets long.
 RUN = 256
-#: A run counts as frequent in a batch from so many occurrences; globally, from a share of a bucket.
-LOCAL = 8
+#: A run is counted from so many occurrences in a task's stretch of CHUNK_RUNS runs on; it is frequent from a share of a bucket.  One that
+#: is rarer everywhere occurs sqrt(limit * stretches) times at most or so, which loads no bucket.
+LOCAL, CHUNK_RUNS = 2, 1 << 23
+#: Hashes from which a run never serves as a minimiser.
+UPPER = 1 << 62
 #: Frequent runs that are broadcast at most (8 bytes each); further ones cost balance, not results.
 FREQUENT = 1 << 20
 
 
+#: Bits of a bitset at most: of one that is sent to the workers, and of one that is sent as a table (a row for 64).
+MOST_BITS, MOST_ROW_BITS = 1 << 27, 1 << 25
 #: Rows of a batch whose texts are held as objects at a time, and bytes of packed strings.
 ROWS, HELD = 2048, 24 << 20
 
@@ -71,6 +81,7 @@ class Windows:
         spans = Spans(w.hash)
         at = np.arange(n - M + 1)
         runs = mix(spans.get(at, at + M, 0) ^ U(0xA5A5A5A5))
+        runs[runs >= U(UPPER)] = U(0xFFFFFFFFFFFFFFFF)
         if len(frequent):
             pos = np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)
             runs[frequent[pos] == runs] = U(0xFFFFFFFFFFFFFFFF)
@@ -103,19 +114,52 @@ class Windows:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of M words that occur LOCAL times in a batch, with their counts; of the smaller quarter of hashes, from which minimisers come."""
-    for b in batches:
-        found: list[np.ndarray] = []
+    """Runs of M words that occur LOCAL times in a stretch of a task, with their counts; of the lower quarter of hashes, from which minimisers come."""
+    found: list[np.ndarray] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        v, n = np.unique(np.concatenate(found), return_counts=True)
+        v, n = v[n >= LOCAL], n[n >= LOCAL]
+        return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n, pa.int64())], names=["v", "n"])
+
+    for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         for _, part in chunks(list(dict.fromkeys(b.column(0).to_pylist()))):
             w = Words(part)
             if len(w.hash) >= K:
                 at = np.arange(len(w.hash) - M + 1)
                 runs = mix(Spans(w.hash).get(at, at + M, 0) ^ U(0xA5A5A5A5))
-                found.append(runs[runs < U(1 << 62)])
-        if found:
-            v, n = np.unique(np.concatenate(found), return_counts=True)
-            v, n = v[n >= LOCAL], n[n >= LOCAL]
-            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n, pa.int64())], names=["v", "n"])
+                found.append(runs[runs < U(UPPER)])
+                held += len(found[-1])
+                if held >= CHUNK_RUNS:
+                    yield out()
+                    found, held = [], 0
+    if found:
+        yield out()
+
+
+class Bits:
+    """A set of 64-bit hashes by some of their bits: never misses a member; at most ``most`` bits, whatever the data."""
+
+    def __init__(self, n: int, most: int):
+        self.size = min(most, 1 << max(16, (16 * n).bit_length()))
+
+    def words(self, hashes: DataFrame, column: str) -> DataFrame:
+        """(w, bits): at most size / 64 rows."""
+        slot = F.col(column).bitwiseAND(F.lit(self.size - 1))
+        bit = F.expr("shiftleft(1L, cast(_s & 63 as int))")
+        return hashes.select(slot.alias("_s")).select(F.shiftright("_s", 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits"))
+
+    def array(self, hashes: DataFrame, column: str) -> np.ndarray:
+        found = self.words(hashes, column).toPandas()
+        out = np.zeros(self.size // 64, U)
+        out[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(U)
+        return out
+
+
+def _member(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h.view(U) & U(64 * len(bits) - 1)
+    return (bits[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == 1
 
 
 def _pack(frequent, buckets: int):
@@ -226,9 +270,9 @@ def _count(key, table):
     return pa.table({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "ranges": pa.array(ranges, pa.list_(pa.int32()))})
 
 
-def _locate(frequent):
+def _locate(frequent, answered):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = frequent.value
+        hot, bits = frequent.value, answered.value
         for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             for _, part in chunks(list(dict.fromkeys(b.column(0).to_pylist()))):
                 w = Words(part)
@@ -236,31 +280,34 @@ def _locate(frequent):
                 if not len(sk.start):
                     continue
                 h1, h2 = sk.keys()
-                doc = np.searchsorted(w.first, sk.start, side="right") - 1
-                keys = np.array([text_key(p) for p in part], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(keys[doc, 0]), pa.array(keys[doc, 1]), pa.array((sk.start - w.first[doc]).astype(np.int32))], names=["k1", "k2", "t1", "t2", "pos"])
+                hit = np.flatnonzero(_member(bits, h1))
+                doc = np.searchsorted(w.first, sk.start[hit], side="right") - 1
+                keys = np.zeros((len(part), 2), np.int64)
+                for d in np.unique(doc).tolist():
+                    keys[d] = text_key(part[d])
+                yield pa.RecordBatch.from_arrays([pa.array(h1[hit]), pa.array(h2[hit]), pa.array(keys[doc, 0]), pa.array(keys[doc, 1]), pa.array((sk.start[hit] - w.first[doc]).astype(np.int32))], names=["k1", "k2", "t1", "t2", "pos"])
 
     return run
 
 
-def covered(texts: DataFrame, name: str = "substrings") -> DataFrame:
+def covered(texts: DataFrame, work: shared.Workspace) -> DataFrame:
     """texts(text) to one row a text with repeated windows: t1, t2 (its key), ranges (flat pairs of word positions)."""
     spark = texts.sparkSession
-    work = shared.Workspace(spark, name)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shared.partitions(spark), int(n_bytes * EXPANSION / BUCKET_BYTES) + 1)
     # super-k-mers are about 16 windows, 100 bytes of text; a run that alone fills a quarter of a bucket is frequent
-    limit = max(2 * LOCAL, int(n_bytes / 100 / buckets / 4))
+    limit = max(16, int(n_bytes / 100 / buckets / 4))
     counts = texts.select("text").mapInArrow(_frequent, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= limit).orderBy(F.desc("n"), "v").limit(FREQUENT).select("v").toPandas()["v"]
     frequent = spark.sparkContext.broadcast(np.sort(top.to_numpy(np.int64).view(U)))
     packed = texts.select("text").mapInArrow(_pack(frequent, buckets), "bucket long, packed binary")
-    answers = packed.groupBy("bucket").applyInArrow(_count, "k1 long, k2 long, ranges array<int>")
+    answers = work.keep(packed.groupBy("bucket").applyInArrow(_count, "k1 long, k2 long, ranges array<int>"))
+    answered = spark.sparkContext.broadcast(Bits(answers.count(), MOST_BITS).array(answers, "k1"))
     # a run cut at RUN may stand in several buckets' strings only if equal, hence once; long keys are split by Spark
-    places = texts.select("text").mapInArrow(_locate(frequent), "k1 long, k2 long, t1 long, t2 long, pos int")
+    places = texts.select("text").mapInArrow(_locate(frequent, answered), "k1 long, k2 long, t1 long, t2 long, pos int")
     hits = places.join(answers, ["k1", "k2"])
     flat = hits.select("t1", "t2", F.transform("ranges", lambda x: x + F.col("pos")).alias("r"))
-    return flat.groupBy("t1", "t2").agg(F.flatten(F.collect_set("r")).alias("ranges"))  # bounded by one text's length
+    return work.keep(flat.groupBy("t1", "t2").agg(F.flatten(F.collect_set("r")).alias("ranges")))  # bounded by one text's length
 
 
 def _keep_mask(n: int, ranges: list[int] | None) -> np.ndarray:
@@ -272,16 +319,25 @@ def _keep_mask(n: int, ranges: list[int] | None) -> np.ndarray:
     return np.cumsum(mark[:n]) == 0
 
 
-def remove_repeats(docs: DataFrame, columns: list[str], name: str = "substrings") -> DataFrame:
-    """The named columns with n_words, n_removed and kept (the text left: words joined by one space, where words went; else unchanged)."""
-    from pyspark.sql import types as T
+RESULTS = ("n_words", "n_removed", "kept", "kept_sha256")
+
 
+def remove_repeats(docs: DataFrame, columns: list[str], name: str = "substrings", results: tuple[str, ...] = RESULTS) -> DataFrame:
+    """The named columns with n_words, n_removed, kept (the text left: words joined by one space, where words went; else unchanged) and its digest."""
+    work = shared.Workspace(docs.sparkSession, name)
+    columns = shared.passed(columns, list(results))
     own = [c for c in columns if c != "text"]
     rows = docs.select(docs["text"].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(own)])
-    ranges = covered(rows.select("text"), name)
+    ranges = covered(rows.select("text"), work)
+    bits = Bits(ranges.count(), MOST_ROW_BITS)
     t1, t2 = text_key_columns(F.col("text"))
-    joined = rows.withColumn("t1", t1).withColumn("t2", t2).join(ranges, ["t1", "t2"], "left").drop("t1", "t2")
+    keyed = rows.withColumn("t1", t1).withColumn("t2", t2)
+    slot = F.col("t1").bitwiseAND(F.lit(bits.size - 1))
+    marked = keyed.withColumn("_s", slot).withColumn("w", F.shiftright("_s", 6)).join(F.broadcast(bits.words(ranges, "t1")), "w", "left")
+    maybe = F.coalesce(F.expr("shiftright(bits, cast(_s & 63 as int)) & 1L") == 1, F.lit(False))
     passed = [f"c{i}" for i in range(len(own))]
+    some = marked.where(maybe).select(*passed, "text", "t1", "t2").join(ranges, ["t1", "t2"], "left").select(*passed, "text", "ranges")
+    joined = some.unionByName(marked.where(~maybe).select(*passed, "text", F.lit(None).cast("array<int>").alias("ranges")))
     extra = [T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*[T.StructField(c, docs.schema[o].dataType) for c, o in zip(passed, own, strict=True)], *extra])
 
@@ -307,5 +363,5 @@ def remove_repeats(docs: DataFrame, columns: list[str], name: str = "substrings"
                 cols = [part.column(part.schema.get_field_index(c)) for c in passed] + [part.column(part.schema.get_field_index("text"))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], names=[*passed, "text", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    out = joined.select(*passed, "text", "ranges").mapInArrow(rewrite, schema)
-    return out.select(*[(F.col("text") if c == "text" else F.col(f"c{own.index(c)}")).alias(c) for c in columns], "n_words", "n_removed", "kept", "kept_sha256")
+    out = joined.mapInArrow(rewrite, schema)
+    return out.select(*[(F.col("text") if c == "text" else F.col(f"c{own.index(c)}")).alias(c) for c in columns], *[F.col(r).alias(x) for r, x in zip(RESULTS, results, strict=True)])
