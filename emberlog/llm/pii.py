@@ -1,7 +1,7 @@
 """PII: detection and surrogate generation, by DataFrame operations only.
 
 Entities (e-mail addresses, telephone numbers, card numbers, IPv4 addresses, social security numbers, persons
-with a title or a known given name) are found by patterns.  Every mention is taken to whom or what it names, in all the
+with a title, a known given name or after words by which someone is named) are found by patterns.  Every mention is taken to whom or what it names, in all the
 corpus: an address is one in any letter case, a card, telephone or security number in any layout (a ten-digit
 telephone number without a country code is the one with +1), a person with or without title.  A family
 name has one surrogate, with which full names are composed, so that 'Mr Peter Muller', 'Peter Muller' and 'Mr Muller'
@@ -20,7 +20,8 @@ entity; no part of it is collected or broadcast.
 Only rows with an entity take part in the joins, keyed by a digest of the text, so copies are done once.
 
 Defined results: null texts stay null, texts without entities stay as they are; the same key gives the same
-surrogates for the same corpus; a repeated row gets equal results; an empty table gives no rows.
+surrogates for the same corpus; a repeated row gets equal results; rows without a doc_id and empty or very long texts are
+done like others; an empty table gives no rows; a passed column named like the result's count gives way to it.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ GIVEN = {
 TITLES = {"f": "Mrs Ms Frau Mme Sra".split(), "m": "Mr Herr Sr".split(), "": "Dr Prof".split()}
 SYLLABLES = {"latin": "ba be bo da de do fa ga ka ke la le lo ma me mo na ne no ra re ro sa se so ta te to va vo".split(), "cyrillic": "ба бо ва во га го да до ка ко ла ло ма мо на но па по ра ро са со та то фа ха".split()}
 
+#: Words after which someone is named; in any letter case.
+CUES = "my name is|i am called|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут".split("|")
+
 # A name goes over an apostrophe only before three letters, so a possessive or contracted ending is no part of it.
 _PART = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{L}{3}))+"
 _NAME = rf"{_PART}(?:-{_PART})?"
@@ -51,7 +55,9 @@ def _person() -> str:
     latin = "|".join(n for (s, _), ns in GIVEN.items() if s == "latin" for n in ns)
     cyr = "|".join(n for (s, _), ns in GIVEN.items() if s == "cyrillic" for n in ns)
     before, after = r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}\p{N}_])"
-    return rf"{before}(?:(?:{titles})\.?\x20{_NAME}(?:\x20{_NAME})?{after}|(?:{latin})\x20{_NAME}{after}|(?:{cyr})\x20{_CYR})"
+    cues = "|".join(c.replace(" ", r"\x20") for c in CUES)
+    cued = rf"(?<=(?:[^\p{{L}}]|^)(?iu:{cues})\x20){_NAME}(?:\x20{_NAME})?{after}"
+    return rf"{before}(?:{cued}|(?:{titles})\.?\x20{_NAME}(?:\x20{_NAME})?{after}|(?:{latin})\x20{_NAME}{after}|(?:{cyr})\x20{_CYR})"
 
 
 # Cards of other lengths than 16 only by the prefixes that have them, the longer ones first; so other long numbers stay.
@@ -208,7 +214,8 @@ def _settle(ids: DataFrame, key: str, work: shared.Workspace) -> DataFrame:
     settled: DataFrame | None = None
     attempt = 0
     while True:
-        asked = work.keep(todo.withColumn("surrogate", propose(F.col("type"), F.col("who"), F.col("gender"), F.col("attempt"), key)))
+        # a proposal is far more work than its row's size tells, so the rows are spread over all tasks
+        asked = work.keep(todo.repartition(shared.partitions(ids.sparkSession), "type", "who").withColumn("surrogate", propose(F.col("type"), F.col("who"), F.col("gender"), F.col("attempt"), key)))
         known = ids.select("type", F.col("who").alias("surrogate"))
         free = asked.join(known, ["type", "surrogate"], "left_anti")
         if settled is not None:
@@ -229,16 +236,22 @@ def surrogates(entities: DataFrame, key: str, work: shared.Workspace) -> DataFra
     ids = named.groupBy("type", "who").agg(F.coalesce(told, F.min("by_given")).alias("gender"))
     families = named.where("type = 'person'").select(F.lit("family").alias("type"), F.col("family").alias("who"), F.lit(None).cast("string").alias("gender"))
     settled = _settle(work.keep(ids.unionByName(families).groupBy("type", "who").agg(F.min("gender").alias("gender"))), key, work)
-    found = named.join(settled, ["type", "who"])
+    found = work.keep(named.join(settled, ["type", "who"])).repartition(shared.partitions(entities.sparkSession), "kind", "entity")
     last = settled.where("type = 'family'").select(F.col("who").alias("family"), F.col("surrogate").alias("_last"))
     full = found.where("type = 'person'").join(last, "family").select("kind", "entity", _rendered(F.substring_index("surrogate", " ", 1), F.col("_last")).alias("surrogate"))
     other = found.where("type <> 'person'").select("kind", "entity", _rendered(F.col("surrogate"), F.col("surrogate")).alias("surrogate"))
     return work.keep(full.unionByName(other))
 
 
-def replace_entities(docs: DataFrame, columns: list[str], key: str = "corpus", name: str = "pii") -> DataFrame:
-    """The named columns with text replaced, and n_entities."""
+def replace_entities(docs: DataFrame, columns: list[str], key: str, name: str = "pii", count: str = "n_entities") -> DataFrame:
+    """The named columns with text replaced, and the number of entities.
+
+    ``key`` is the secret that surrogates depend on: without it nobody can tell them from the originals.
+    """
+    if not key:
+        raise ValueError("surrogates need a key")
     work = shared.Workspace(docs.sparkSession, name)
+    columns = shared.passed(columns, [count])
     own = [c for c in columns if c != "text"]
     rows = docs.select(docs["text"].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(own)])
     text = F.col("text")
@@ -256,7 +269,7 @@ def replace_entities(docs: DataFrame, columns: list[str], key: str = "corpus", n
     joined = keyed.where(F.col("text_key").isNotNull()).join(answers, "text_key")
     between = F.split(text, ANY, -1)
     new = F.concat(F.array_join(F.flatten(F.zip_with(F.slice(between, 1, F.size("s")), F.col("s"), lambda a, b: F.array(a, b))), ""), F.element_at(between, -1))
-    changed = joined.select(*[f"c{i}" for i in range(len(own))], new.alias("text"), F.size("s").cast("long").alias("n_entities"))
-    same = keyed.where(F.col("text_key").isNull()).select(*[f"c{i}" for i in range(len(own))], "text", F.lit(0).cast("long").alias("n_entities"))
+    changed = joined.select(*[f"c{i}" for i in range(len(own))], new.alias("text"), F.size("s").cast("long").alias("_n"))
+    same = keyed.where(F.col("text_key").isNull()).select(*[f"c{i}" for i in range(len(own))], "text", F.lit(0).cast("long").alias("_n"))
     out = changed.unionByName(same)
-    return out.select(*[(F.col("text") if c == "text" else F.col(f"c{own.index(c)}")).alias(c) for c in columns], "n_entities")
+    return out.select(*[(F.col("text") if c == "text" else F.col(f"c{own.index(c)}")).alias(c) for c in columns], F.col("_n").alias(count))

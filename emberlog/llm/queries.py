@@ -11,6 +11,15 @@ from . import bpe, media, minhash, packing, pii, secrets, sharding, substrings,
 
 #: Ranks and pattern of op2; the file is a parameter, read where the workers run.
 RANKS = os.environ.get("EMBERLOG_RANKS")
+#: The key of op9's surrogates; a corpus that is given away needs a secret one.
+KEY = os.environ.get("EMBERLOG_PII_KEY", "public key of the registered queries")
+
+
+def tokenizer() -> tuple[str, str]:
+    """Path of the ranks, and the pattern."""
+    import public_tokenizers
+
+    return RANKS or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,9 +31,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return bpe.token_digests(_read(spark, sf_dir, "documents"), RANKS or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.token_digests(_read(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +67,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(_read(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return pii.replace_entities(_read(spark, sf_dir, "documents"), ["doc_id", "text"], KEY)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +77,19 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op3_media_columns, op4_byte_shards, op5_best_fit_packing, op6_top_k, op7_toxicity, op8_substring_dedup, op9_pii_surrogates, op10_minhash)}
 
 ORACLE_SQL = {
+    "op10_minhash": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+          SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w
+        ), c AS (  -- documents with equal sets are one
+          SELECT doc_id, g, len(g) AS n, min(doc_id) OVER (PARTITION BY CASE WHEN len(g) = 0 THEN CAST(doc_id AS VARCHAR) ELSE sha256(array_to_string(list_sort(g), chr(10))) END) AS r FROM s
+        ), e AS (SELECT doc_id, n, unnest(g) AS x FROM c WHERE doc_id = r),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n - count(*) AS n_union, count(*) AS n_common FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+        l AS (SELECT u, v FROM p WHERE 100 * n_common >= 80 * n_union UNION ALL SELECT v, u FROM p WHERE 100 * n_common >= 80 * n_union),
+        t AS (SELECT doc_id AS d, doc_id AS k FROM c WHERE doc_id = r UNION SELECT l.v, t.k FROM t JOIN l ON l.u = t.d WHERE t.k < l.v),
+        m AS (SELECT d, min(k) AS k FROM t GROUP BY d)
+        SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, m.k AS component_id, c.doc_id = m.k AS kept FROM c JOIN m ON m.d = c.r""",
     "op6_top_k": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
