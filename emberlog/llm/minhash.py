@@ -7,9 +7,11 @@ No bucket is ever expanded into all its pairs:
 * *Stars.*  Each node is compared with the smallest node of each of its buckets; by the minima, the most
   promising is chosen and verified on full sets.  That gives first components.
 * *The rest.*  A bucket whose nodes are all in one component has nothing left to find.  In the others, nodes
-  outside the bucket's largest component meet every node of the bucket, in blocks of bounded
-  size; pairs of different components whose minima agree well enough are verified there on full sets, in
-  the first band that they share.  So every pair of a bucket is in one component or was tested.
+  outside the bucket's largest component meet every node of the bucket, in a grid of blocks: both sides are
+  cut, so a task holds at most a block of either whatever the bucket's size.  A first pass over the minima alone tells
+  which nodes of a block have a promising partner in another component; only these come with their texts to
+  the second, which verifies on full sets, in the first band that a pair shares.  So every pair of a bucket is in one
+  component or was tested.
 Links are confirmed on the words themselves: 100 * intersection >= threshold * union.
 
 A pair at the threshold 0.8 misses all 32 bands of 5 minima with probability 3e-6, and falls below the
@@ -18,7 +20,8 @@ agreement asked for (0.64 of 160 minima) with about 1e-6.
 Defined results: null and empty texts have an empty set, link with nothing, and stay; a text with fewer
 words than a shingle has itself as its one shingle; copies link whatever their number; component_id is the
 smallest doc_id of the component, and rows without a doc_id don't lend theirs; a repeated doc_id
-counts as its rows' common name (kept holds for each of them).
+counts as its rows' common name (kept holds for each of them; ``first_of_each`` decides by row); an empty table gives no
+rows; extra columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 from .components import components, partial_labels
@@ -40,14 +44,14 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Share of equal minima from which a pair is verified.
 AGREE = 0.64
-#: Nodes of a bucket that one task holds at a time, and their packed bytes.
-BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Nodes of one side of a block (on average), and their bytes.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 
 _RNG = np.random.RandomState(11)
 _A = (_RNG.randint(0, 1 << 62, HASHES).astype(U) << U(1)) | U(1)
 _B = _RNG.randint(0, 1 << 62, HASHES).astype(U)
 
-SIGNED = "row_key long, set_key binary, n_shingles long, minima binary, ztext binary"
+SIGNED = "set_key binary, n_shingles long, minima binary, ztext binary"
 
 
 def shingle_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +118,10 @@ def _sign(size: int):
     return run
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Row by row: doc_id as row_key, the set's key and size; minima and packed text with its first row in an Arrow batch."""
-    return docs.select(docs["doc_id"].cast("long").alias("row_key"), docs["text"]).mapInArrow(_sign(size), SIGNED)
+def signatures(rows: DataFrame, size: int) -> DataFrame:
+    """rows(row_key, text) to row_key, the set's key and size; minima and packed text with its first row in an Arrow batch."""
+    schema = T.StructType([rows.schema["row_key"], *T.StructType.fromDDL(SIGNED).fields])
+    return rows.select("row_key", "text").mapInArrow(_sign(size), schema)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +179,32 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((m == c).sum(axis=1).astype(np.int32))], names=["node", "centre", "agree"])
 
 
+def _promising(key, table):
+    """The nodes of a block that have a partner on the other side: of another component, with enough equal minima, first met in this band."""
+    place = table.column("place").to_numpy()
+    comp = table.column("comp").to_pylist()
+    names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
+    cid = np.array([names[c] for c in comp])
+    m = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint32).reshape(-1, HASHES)
+    outside, inside = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+    which = table.column("which")[0].as_py()
+    low, byband = m.astype(np.uint8), m.reshape(-1, BANDS, ROWS)
+    theirs, of = np.ascontiguousarray(low[inside]), cid[inside]
+    found = np.zeros(len(place), bool)
+    for i in outside.tolist():
+        # the last byte of each hash first: it never agrees less often than the whole
+        near = np.flatnonzero((of != cid[i]) & ((theirs == low[i]).sum(axis=1) >= AGREE * HASHES))
+        if not len(near):
+            continue
+        near = inside[near]
+        near = near[(m[near] == m[i]).sum(axis=1) >= AGREE * HASHES]
+        near = near[(byband[near] == byband[i]).all(axis=2).argmax(axis=1) == which]
+        if len(near):
+            found[i] = True
+            found[near] = True
+    return table.select(["band", "i", "j", "which", "node", "comp", "place"]).filter(pa.array(found))
+
+
 def _rest(size: int, percent: int):
     """Links of one block: its nodes against those of the bucket that are outside the largest component.
 
@@ -226,6 +257,24 @@ def _rest(size: int, percent: int):
     return run
 
 
+def deal(labelled: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of buckets with several components, dealt to the blocks (i, j) of a grid.
+
+    Nodes outside the bucket's largest component (place -1) are cut into rows i, all nodes (place 0) into
+    columns j; every outside node meets every node in exactly one block, and neither side of a block grows with the bucket.
+    """
+    most = F.max(F.struct("n", "bytes", "comp"))
+    open_buckets = groups.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), most.alias("most")).where(F.col("c") > 1)
+    cuts = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    columns, rows = cuts(F.col("n"), F.col("bytes")), cuts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes"))
+    left = labelled.join(open_buckets.select("band", columns.alias("columns"), rows.alias("rows"), F.col("most.comp").alias("most")), "band")
+    to = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = left.withColumn("j", to("columns", 1)).withColumn("i", every("rows")).withColumn("place", F.lit(0))
+    outside = left.where(F.col("comp") != F.col("most")).withColumn("i", to("rows", 2)).withColumn("j", every("columns")).withColumn("place", F.lit(-1))
+    return own.unionByName(outside).select("band", "i", "j", "which", "node", "comp", "place")
+
+
 def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspace) -> DataFrame:
     """signed rows to (node, root) of all sets that link with another."""
     full = signed.where(F.col("minima").isNotNull())
@@ -252,18 +301,14 @@ def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspa
     first = joined.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     # buckets that still hold several components
     labelled = work.keep(members.join(first, "node", "left").select("band", "which", "node", "zlen", F.coalesce("root", "node").alias("comp")))
-    groups = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("zlen").cast("long")).alias("bytes"))
-    open_buckets = groups.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "comp")).alias("most")).where(F.col("c") > 1)
-    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
-    open_buckets = open_buckets.select("band", blocks.alias("blocks"), F.col("most.comp").alias("most"))
+    groups = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("zlen") + F.lit(4 * HASHES)).alias("bytes"))
+    dealt = deal(labelled, groups).join(nodes.select(F.col("set_key").alias("node"), "minima"), "node")
+    marked = work.keep(dealt.groupBy("band", "i", "j").applyInArrow(_promising, "band long, i int, j int, which tinyint, node binary, comp binary, place int"))
     payload = nodes.select(F.col("set_key").alias("node"), "minima").join(texts.withColumnRenamed("set_key", "node"), "node")
-    left = labelled.join(open_buckets, "band").join(payload, "node")
-    own = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("place", F.lit(0))
-    outside = left.where(F.col("comp") != F.col("most")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("place", F.lit(-1))
-    dealt = own.unionByName(outside).select("band", "block", "which", "node", "comp", "minima", "ztext", "place")
-    more = work.keep(dealt.groupBy("band", "block").applyInArrow(_rest(size, percent), "u binary, v binary").distinct())
+    doubtful = marked.join(payload, "node").select("band", "i", "j", "which", "node", "comp", "minima", "ztext", "place")
+    more = work.keep(doubtful.groupBy("band", "i", "j").applyInArrow(_rest(size, percent), "u binary, v binary").distinct())
     roots = work.keep(components(joined.unionByName(more), work))
-    for used in (nodes, members, texts, links, joined, labelled, more):
+    for used in (nodes, members, texts, links, joined, labelled, marked, more):
         work.drop(used)
     return roots
 
@@ -271,12 +316,47 @@ def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspa
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "minhash") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     work = shared.Workspace(docs.sparkSession, name)
-    signed = work.keep(signatures(docs, size))
+    signed = work.keep(signatures(docs.select(docs["doc_id"].alias("row_key"), docs["text"].alias("text")), size))
     roots = linked_sets(signed, size, percent, work)
     rows = work.keep(signed.select(F.col("row_key").alias("doc_id"), "set_key", "n_shingles"))
     work.drop(signed)
-    some = rows.where(F.col("n_shingles") > 0).join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = some.join(least, "root").select("doc_id", "n_shingles", "component_id")
-    none = rows.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    # from sets to components, not from rows: copies are one set, and the join on the root is of two tables that Spark may split
+    least = rows.where(F.col("n_shingles") > 0).groupBy("set_key").agg(F.min("doc_id").alias("m"))
+    rooted = work.keep(least.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", F.coalesce("root", "set_key").alias("root"), "m"))
+    names = work.keep(rooted.groupBy("root").agg(F.min("m").alias("component_id")))
+    linked = work.keep(rooted.join(names, "root").select("set_key", F.col("component_id").alias("_c")))
+    found = rows.join(linked, "set_key", "left")
+    out = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def row_keys(docs: DataFrame) -> Column:
+    """A digest of a row's doc_id and text; a null text counts as empty."""
+    d = docs["doc_id"].cast("string")
+    head = F.concat(F.coalesce(F.length(d).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(d, F.lit("")), F.lit(":"))
+    return F.unhex(F.sha2(F.concat(head, F.coalesce(docs["text"], F.lit(""))), 256))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "minhash") -> DataFrame:
+    """The rows of docs, all columns, of which one of each group of near duplicates stays: that of the smallest doc_id.
+
+    Decided by row, so a repeated doc_id costs no other text: rows without a doc_id come last in a group, of equal
+    doc_ids the smallest digest stays, and of rows equal in doc_id and text any one.  Rows without words all stay.
+    """
+    work = shared.Workspace(docs.sparkSession, name)
+    signed = work.keep(signatures(docs.select(F.struct(docs["doc_id"].alias("id"), row_keys(docs).alias("row")).alias("row_key"), docs["text"].alias("text")), size))
+    roots = linked_sets(signed, size, percent, work)
+    rows = signed.where(F.col("n_shingles") > 0).groupBy("row_key.id", "row_key.row", "set_key").agg(F.count(F.lit(1)).alias("n"))
+    rooted = work.keep(rows.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("id", "row", "n", F.coalesce("root", "set_key").alias("root")))
+    work.drop(signed)
+    winners = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("w")).select(F.col("w.row").alias("row"), F.lit(True).alias("won"))
+    told = rooted.join(winners, "row", "left").where(F.col("won").isNull() | (F.col("n") > 1))
+    verdict = work.keep(told.select("row", F.coalesce("won", F.lit(False)).alias("won")).distinct())
+    own = docs.columns
+    keyed = docs.select(row_keys(docs).alias("row"), *[docs[c].alias(f"c{i}") for i, c in enumerate(own)])
+    out = keyed.join(verdict, "row", "left_anti").select(*[f"c{i}" for i in range(len(own))])
+    repeated = verdict.where("won")
+    if not repeated.isEmpty():
+        once = keyed.join(repeated, "row", "left_semi").groupBy("row").agg(F.first(F.struct(*[f"c{i}" for i in range(len(own))])).alias("r"))
+        out = out.unionByName(once.select(*[F.col(f"r.c{i}").alias(f"c{i}") for i in range(len(own))]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
