@@ -10,7 +10,9 @@ Vocabulary entries live in an Aho-Corasick automaton; pyahocorasick takes string
 mapped to the first 256 code points (Latin-1).
 
 Defined results: a null text counts as empty; an empty text has no tokens; lone surrogates can't
-occur in Spark strings; texts of any length are handled (long pieces are matched in blocks).
+occur in Spark strings; texts of any length are handled (long pieces are matched in blocks); repeated rows and
+rows without a doc_id are encoded like others; an empty table gives no rows; ``encode_texts`` passes all columns
+through, and its result replaces a column of the same name.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Entries of one generation of a worker's caches.
 CACHE_ENTRIES = 250_000
@@ -196,8 +199,7 @@ def codec(path: str, pattern: str) -> BytePairCodec:
 
 def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids (array of int) of each text.  Narrow: no shuffle; other columns pass through."""
-    schema = df.select("*").withColumn(ids, df[text].cast("string")).schema
-    fields = [f for f in schema.fields if f.name != ids]
+    fields = [f for f in df.schema.fields if f.name.lower() != ids.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -207,8 +209,6 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
                 got = pa.array([c.encode(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(f.name)) for f in fields] + [got], names=[f.name for f in fields] + [ids])
 
-    from pyspark.sql import types as T
-
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
@@ -227,4 +227,5 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 out_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
+    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, schema)

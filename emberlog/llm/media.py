@@ -208,11 +208,14 @@ def payload_columns(index: DataFrame, target: str) -> DataFrame:
     return index.mapInArrow(read, META + ", " + fields)
 
 
-def media_columns(docs: DataFrame, name: str = "media") -> DataFrame:
-    """Every row of docs(doc_id, text) with its payload's columns."""
+def media_columns(docs: DataFrame, target: str | None = None, name: str = "media") -> DataFrame:
+    """Every row of docs(doc_id, text) with its payload's columns.
+
+    ``target``: URI of the shards' folder; without one they live in the session's workspace and go with it.
+    """
     spark: SparkSession = docs.sparkSession
     work = shared.Workspace(spark, name)
-    target = f"{work.root}/shards"
+    target = target or f"{work.root}/shards"
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
     key = F.unhex(F.sha2(F.col("text"), 256))
     index = work.keep(write_shards(rows.select(key.alias("text_sha256"), F.col("text").cast("binary").alias("payload")), target))

@@ -10,7 +10,7 @@ ends depends on a sample and must not change between the totals and the running
 
 Defined results: null texts have size 16 and the CRC of no bytes; null doc_ids come first; rows equal
 in all three columns are interchangeable; with no rows there is nothing to return; a row larger than a
-shard's share takes one shard and neighbours may stay empty.
+shard's share takes one shard and neighbours may stay empty; other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
