@@ -1,6 +1,7 @@
 """The corpus pipeline: toxicity, near duplicates, substring dedup, PII surrogates, packing.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.  Columns of its own have names that
+the table lacks, so extra columns of any name pass through unchanged.
 """
 
 from __future__ import annotations
@@ -8,39 +9,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import minhash, packing, pii, queries, shared, substrings, toxicity
+from emberlog.llm import bpe, minhash, packing, pii, queries, shared, substrings, toxicity
+
+
+def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
+    """docs' columns out of ``changed``, with ``text`` as the text and its length in n_chars."""
+    def one(c: str):
+        if c == "text":
+            return F.col(text).alias(c)
+        if c == "n_chars":
+            return F.coalesce(F.length(text).cast(docs.schema[c].dataType), F.col(c)).alias(c)
+        return F.col(c)
+
+    return changed.select(*[one(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or higher go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), queries.learnable())
-    return toxicity.score(docs, model, docs.columns).where(F.col("predicted") == 0).select(docs.columns)
+    score, predicted = shared.fresh(docs.columns, "score", "predicted")
+    return toxicity.score(docs, model, docs.columns, (score, predicted)).where(F.col(predicted) == 0).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays; rows without a doc_id stay."""
-    gone = minhash.near_duplicates(docs, size=5, percent=80, name="pipeline-minhash").where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) one row stays, that of the smallest doc_id."""
+    return minhash.first_of_each(docs, size=5, percent=80, name="pipeline-minhash")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under windows that occur elsewhere go; a document that loses all stays, empty."""
-    out = substrings.remove_repeats(docs, docs.columns, "pipeline-substrings")
-    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.coalesce(F.length("kept").cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else F.length("kept")).select(docs.columns)
+    names = shared.fresh(docs.columns, *substrings.RESULTS)
+    return _with_text(docs, substrings.remove_repeats(docs, docs.columns, "pipeline-substrings", tuple(names)), names[2])
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.replace_entities(docs, docs.columns, name="pipeline-pii")
-    return out.select(*[(F.coalesce(F.length("text").cast("long"), F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c)) for c in docs.columns])
+    (count,) = shared.fresh(docs.columns, "n_entities")
+    return _with_text(docs, pii.replace_entities(docs, docs.columns, queries.KEY, "pipeline-pii", count), "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    """Token ids of all documents, packed into bins."""
+    rows = bpe.encode_texts(docs.select("doc_id", "text"), *queries.tokenizer())
+    return packing.pack_sequences(rows, rows["ids"], name="pipeline-packing")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("substring_dedup", drop_repeated_passages), ("pii", replace_pii), ("packing", pack)]
 
-#: Trained scores, keyed surrogates and packing have no SQL; tests hold the stages against brute force.
+#: Trained scores, keyed surrogates and packing have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
