@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -41,6 +42,11 @@ def _scalars_udf() -> Callable[[Column], Column]:
     return scalars
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_path(name: str) -> str:
     return "$" + "".join("['" + p.replace("'", "\\'") + "']" for p in name.split("."))
 
@@ -58,7 +64,12 @@ class JsonEvents:
         # a text may look like an array or object, so only such values are looked at twice
         kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), json_path(name), "variant"))
         nested = F.coalesce(kind.rlike("^(ARRAY|OBJECT)"), F.lit(False))
-        return F.when(value.rlike(r"^[\[{]") & nested, F.lit(None).cast("string")).otherwise(value)
+        value = F.when(value.rlike(r"^[\[{]") & nested, F.lit(None).cast("string")).otherwise(value)
+        leaf = name.split(".")[-1]
+        if not re.fullmatch(r"[A-Za-z0-9_@ -]+", leaf):
+            return value
+        # a text without the key needn't be parsed; escapes may spell it otherwise
+        return F.when(F.contains(raw, F.lit(leaf)) | F.contains(raw, F.lit("\\u")), value)
 
     def flat(self, name: str) -> Column:
         """A top-level key that may itself hold dots."""
@@ -96,7 +107,7 @@ def first_present(*columns: Column) -> Column:
 
 def basename_lower(c: Column) -> Column:
     """File name of a path with either kind of slash, in lower case; a path that ends with one stays whole."""
-    return F.lower(F.regexp_replace(c, r"(?s)^.*[\\/](?=.)", ""))
+    return F.lower(F.when(c.endswith("/") | c.endswith("\\"), c).otherwise(F.regexp_replace(c, r"(?s)^.*[\\/]", "")))
 
 
 def endpoint_columns(e, fall_back_to_host: bool = False) -> dict[str, Column]:

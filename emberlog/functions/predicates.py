@@ -205,20 +205,35 @@ def _ipv6_in(networks: list[str]) -> Callable[[Column], Column]:
     return inside
 
 
-def cidr(c: Column, values: list[str], modifiers: tuple[str, ...] = ()) -> Column:
-    """In one of the networks; a value that is none ends the search.  Version 4 stays in the JVM; version 6 takes a vectorised function, run only for text with a colon."""
-    number, four, six = ipv4_number(c), [], []
+def networks(values: list[str]) -> list[ipaddress.IPv4Network | ipaddress.IPv6Network]:
+    """The networks that values name, up to one that names none."""
+    out = []
     for v in values:
         try:
             if "/" not in v:
                 break
-            net = ipaddress.ip_network(v.strip(), strict=False)
+            out.append(ipaddress.ip_network(v.strip(), strict=False))
         except ValueError:
             break
-        if net.version == 4:
-            four.append((number >= F.lit(int(net.network_address))) & (number <= F.lit(int(net.broadcast_address))))
-        else:
-            six.append(str(net))
+    return out
+
+
+def address(text: str) -> ipaddress.IPv4Address | ipaddress.IPv6Address | None:
+    """The address that a text is, as ``cidr`` reads it."""
+    if re.match(_OCTETS, text.strip(" ")):
+        return ipaddress.IPv4Address(text.strip(" "))
+    try:
+        found = ipaddress.IPv6Address(text.strip()) if ":" in text else None
+    except ValueError:
+        return None
+    return None if found is not None and found.ipv4_mapped else found
+
+
+def cidr(c: Column, values: list[str], modifiers: tuple[str, ...] = ()) -> Column:
+    """In one of the networks; a value that is none ends the search.  Version 4 stays in the JVM; version 6 takes a vectorised function, run only for text with a colon."""
+    number, nets = ipv4_number(c), networks(values)
+    four = [(number >= F.lit(int(n.network_address))) & (number <= F.lit(int(n.broadcast_address))) for n in nets if n.version == 4]
+    six = [str(n) for n in nets if n.version == 6]
     out = F.coalesce(any_of(four), _never())
     return out | F.coalesce(F.when(F.contains(c, F.lit(":")), _ipv6_in(six)(c)), _never()) if six else out
 

@@ -4,14 +4,21 @@ A window lives while an event is no later than ``timespan`` after its start; an
 new one.  When the count reaches the threshold an alert is raised and the window starts again, empty,
 at that event.  Only the type value_count raises alerts; a timespan of zero restarts at every event.
 
-Between two events further apart than the timespan a window always restarts, so a group is cut there and the
-pieces are folded apart: what one task folds is a burst, not a group's history.
+Between two events further apart than the timespan a window always restarts, so a group's time is cut where a whole
+stretch begins later than that after the last event before it, and the parts are folded apart.  A part is read in
+order as a stream that carries (start, count), so no group is held in memory; one that never pauses is sequential by
+definition.  The state left at a group's end can be put before its next events, so batch after batch gives what one
+batch of all gives.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.fields import micros
@@ -44,25 +51,84 @@ def triggers(events: DataFrame, ruleset: Ruleset, fields: dict[str, Column], key
     return events.select(F.col(key), F.col(ts), F.explode(F.array_compact(F.array(*specs))).alias("c")).select("c.*", micros(ts).alias("t"), F.col(ts).cast("timestamp").alias("ts"), F.col(key).alias("event_id"))
 
 
+#: A group's stretches are so many timespans long.
+STRETCH = 4
+
+
+def _parts(counted: DataFrame) -> DataFrame:
+    """counted with ``part`` (of a group, by pauses between stretches) and ``last`` (the group's last part)."""
+    keys = ["rule_name", "group_key"]
+    placed = counted.withColumn("stretch", F.when(F.col("span_us") > 0, F.floor(F.col("t") / (F.col("span_us") * STRETCH))).otherwise(F.floor(F.col("t") / 3_600_000_000)))
+    ends = placed.groupBy(*keys, "stretch", "span_us").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    order = Window.partitionBy(*keys).orderBy("stretch")
+    paused = F.coalesce(F.col("lo") - F.lag("hi").over(order) > F.col("span_us"), F.lit(False))
+    cut = ends.withColumn("part", F.sum(paused.cast("int")).over(order)).withColumn("last", F.col("part") == F.sum(paused.cast("int")).over(Window.partitionBy(*keys)))
+    return placed.join(cut.select(*keys, "stretch", "part", "last"), [*keys, "stretch"]).drop("stretch")
+
+
+def fold_windows(counted: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Triggers to alerts and to the state that each group is left with (``is_state``).
+
+    ``state``: rule_name, group_key, start, n of earlier batches.  Rows: correlation, rule_name, group_key, is_state, start, t,
+    event_id, n.
+    """
+    columns = ["correlation", "rule_name", "group_key", "span_us", "gte", "part", "last", "seen", "t", "event_id", "n"]
+    rows = _parts(counted).withColumn("seen", F.lit(1)).withColumn("n", F.lit(0)).select(*columns)
+    if state is not None:
+        old = state.join(counted.select("rule_name", "group_key").distinct(), ["rule_name", "group_key"], "left_semi")
+        none = {"correlation": "int", "span_us": "long", "gte": "int", "event_id": counted.schema["event_id"].dataType}
+        before = old.select("rule_name", "group_key", F.col("start").alias("t"), F.col("n").cast("int").alias("n"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("last"), F.lit(0).alias("seen"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+        rows = rows.unionByName(before.select(*columns))
+    rows = rows.repartition("rule_name", "group_key", "part").sortWithinPartitions("rule_name", "group_key", "part", "seen", "t", "event_id")
+    kind = counted.schema["event_id"].dataType
+    schema = T.StructType([*T.StructType.fromDDL("correlation int, rule_name string, group_key string, is_state boolean, start long, t long").fields, T.StructField("event_id", kind), T.StructField("n", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, start, n, ended = None, None, 0, None
+        out: list[tuple] = []
+        shape = None
+        for b in batches:
+            shape = shape or b.schema.field("event_id").type
+            for c, name, key, span, gte, part, last, seen, t, event, count in zip(*[b.column(x).to_pylist() for x in columns], strict=True):
+                if (name, key, part) != group:
+                    if ended:
+                        out.append((*ended, True, start, None, None, n))
+                    group, start, n, ended = (name, key, part), None, 0, None
+                if not seen:
+                    start, n = t, count
+                    continue
+                if start is None or span == 0 or t - start > span:
+                    start, n = t, 0
+                n += 1
+                if n >= gte:
+                    out.append((c, name, key, False, start, t, event, n))
+                    start, n = t, 0
+                ended = (c, name, key) if last else None
+            if len(out) > 10_000:
+                yield _batch(out, shape)
+                out = []
+        if ended:
+            out.append((*ended, True, start, None, None, n))
+        if out:
+            yield _batch(out, shape)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], event_type: pa.DataType) -> pa.RecordBatch:
+    names = ["correlation", "rule_name", "group_key", "is_state", "start", "t", "event_id", "n"]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), event_type, pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def alerts_of(folded: DataFrame) -> DataFrame:
+    """correlation, rule_name, group_key, window_start, alert_ts, event_id, n."""
+    return folded.where(~F.col("is_state")).select("correlation", "rule_name", "group_key", F.timestamp_micros("start").alias("window_start"), F.timestamp_micros("t").alias("alert_ts"), "event_id", "n")
+
+
 def fold_alerts(counted: DataFrame) -> DataFrame:
-    """Triggers to alerts: correlation, rule_name, group_key, window_start, alert_ts, event_id, n."""
-    order = Window.partitionBy("correlation", "group_key").orderBy("t", "event_id")
-    gap = F.col("t") - F.lag("t").over(order)
-    bursts = counted.withColumn("_cut", F.coalesce((gap > F.col("span_us")) | (F.col("span_us") == 0), F.lit(True)).cast("int")).withColumn("burst", F.sum("_cut").over(order))
-    state = "struct<start:bigint,n:int,out:array<struct<start:bigint,t:bigint,event_id:bigint,n:int>>>"
-    grouped = bursts.groupBy("correlation", "rule_name", "group_key", "burst", "span_us", "gte").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("es"))
-
-    def step(acc: Column, e: Column) -> Column:
-        alive = acc["start"].isNotNull() & (e["t"] - acc["start"] <= F.col("span_us"))
-        start = F.when(alive, acc["start"]).otherwise(e["t"])
-        n = F.when(alive, acc["n"] + 1).otherwise(F.lit(1))
-        fires = n >= F.col("gte")
-        alert = F.struct(start.alias("start"), e["t"].alias("t"), e["event_id"].cast("long").alias("event_id"), n.alias("n"))
-        return F.struct(F.when(fires, e["t"]).otherwise(start).alias("start"), F.when(fires, F.lit(0)).otherwise(n).alias("n"), F.when(fires, F.array_append(acc["out"], alert)).otherwise(acc["out"]).alias("out")).cast(state)
-
-    empty = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<start:bigint,t:bigint,event_id:bigint,n:int>>").alias("out")).cast(state)
-    out = grouped.select("correlation", "rule_name", "group_key", F.explode(F.aggregate("es", empty, step, lambda a: a["out"])).alias("a"))
-    return out.select("correlation", "rule_name", "group_key", F.timestamp_micros("a.start").alias("window_start"), F.timestamp_micros("a.t").alias("alert_ts"), F.col("a.event_id").alias("event_id"), F.col("a.n").alias("n"))
+    """Triggers to alerts."""
+    return alerts_of(fold_windows(counted))
 
 
 def correlate(events: DataFrame, ruleset: Ruleset, fields: dict[str, Column], key: str = "event_id", ts: str = "ts") -> DataFrame:

@@ -1,34 +1,60 @@
 """Rules over events.
 
-Two plans with equal results.  *Projection*: one boolean column a rule, in one pass, for small rulesets.
-*Join*: needed fields are exploded to (event, field, value), met with the table of primitives, and
-rules are counted over their clauses; for thousands of rules, whose expression would cost more to compile
-than to run.
+Two plans with equal results, both one narrow pass in which an event stays a row, so keys may repeat or be null and streams
+are evaluated like tables.  *Projection*: one boolean column a rule, for small rulesets.  *Search*: for thousands of rules,
+whose expression would cost more to compile than to run: literals of all rules are looked for at once in the fields that
+an event has, other predicates are columns, and rules are counted over their clauses.
 """
 
 from __future__ import annotations
 
+import copy
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import predicates, transforms
+from ..functions import literals, predicates, transforms
 from ..functions.registry import Registry
 from ..plans import condition
 from ..plans.compiler import usable
 from ..plans.ir import Dropped, EngineConfig, Primitive, Rule, Ruleset
 
-#: Clauses of a rule in the join plan at most; rules with more stay projections.
+#: Clauses of a rule in the search plan at most; rules with more stay projections.
 MOST_CLAUSES = 512
-#: Bytes of the rule tables up to which they are sent to every task; beyond, Spark chooses.
-BROADCAST_BYTES = 64 << 20
+#: Predicates that become one array; smaller arrays keep generated methods small.
+TOGETHER = 100
 
 
 def _not(x: Column) -> Column:
     return ~x
 
 
+class _Extracted:
+    """Fields that were read into columns."""
+
+    def __init__(self, names: dict[str, str]):
+        self.names = names
+
+    def field(self, name: str) -> Column:
+        return F.col(self.names[name])
+
+    def all_values(self) -> Column:
+        return F.col("av")
+
+
+def _primitives(rule: Rule, tree: tuple) -> set[int]:
+    """All that a rule's condition looks at."""
+    seen: set[int] = set()
+    condition.fold(tree, rule, lambda p: seen.add(p), lambda x: None, lambda x: None, lambda x: None, lambda n, x: None)
+    return seen
+
+
 class Engine:
     """An executable ruleset over events read through ``fields`` (JsonEvents or TypedEvents)."""
 
@@ -61,7 +87,7 @@ class Engine:
 
     # columns
     def value(self, p: Primitive) -> Column:
-        if self.registry.extractor is not None:
+        if self.registry.extractor is not None and not isinstance(self.fields, _Extracted):
             return self.registry.extractor(p.field)
         return self.fields.field(p.field)
 
@@ -109,26 +135,29 @@ class Engine:
         return F.array_compact(F.array(*[F.when(self.rule_column(r, t), F.lit(r.rule_id)) for r, t in chosen])).cast("array<int>")
 
     # plans
-    def evaluate(self, events: DataFrame, key: str = "event_id") -> DataFrame:
+    def evaluate(self, events: DataFrame) -> DataFrame:
         """events with ``matched``, by the plan that the number of rules asks for."""
-        if len(self.rules) <= self.config.projection_rules or self.config.mode == "spec":
+        if len(self.rules) <= self.config.projection_rules:
             return events.withColumn("matched", self.matched())
-        hits = self.join_matches(events, key)
-        found = hits.groupBy(key).agg(F.sort_array(F.collect_set("rule_id")).alias("matched"))
-        return events.join(found, key, "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<int>")))
+        return self.search(events)
 
     def matches(self, events: DataFrame, key: str = "event_id") -> DataFrame:
         """One row (key, rule_id) a match."""
-        if len(self.rules) <= self.config.projection_rules or self.config.mode == "spec":
-            return events.select(key, F.explode(self.matched()).alias("rule_id"))
-        return self.join_matches(events, key)
+        return self.evaluate(events).select(key, F.explode("matched").alias("rule_id"))
 
-    # the join plan
+    def observed(self, events: DataFrame, name: str | None = None) -> tuple[DataFrame, Observation]:
+        """Evaluated events, and their counters once an action has run: events, matched events, matches, primitive evaluations."""
+        seen = Observation(name or f"evaluation-{uuid.uuid4().hex}")
+        n = F.count(F.lit(1))
+        counters = (n.alias("events"), F.count_if(F.size("matched") > 0).alias("events_matched"), F.coalesce(F.sum(F.size("matched")), F.lit(0)).alias("matches"), (n * len(self.ruleset.primitives)).alias("primitive_evaluations"))
+        return self.evaluate(events).observe(seen, *counters), seen
+
+    # the search plan
     def clauses(self) -> tuple[list[tuple[int, int, int, bool]], list[tuple[Rule, tuple]]]:
         """(rule, clause, primitive, negated) in disjunctive form, and the rules that stay projections."""
         rows, rest = [], []
         for rule, tree in self.rules:
-            dnf = _dnf(tree, rule)
+            dnf = _dnf(tree, rule, self.config.mode == "spec")
             if dnf is None or any(all(n for _, n in c) for c in dnf) or any(self.ruleset.primitives[p].any_field for c in dnf for p, _ in c):
                 rest.append((rule, tree))
                 continue
@@ -136,68 +165,83 @@ class Engine:
                 rows += [(rule.rule_id, k, p, n) for p, n in sorted(clause)]
         return rows, rest
 
-    def join_matches(self, events: DataFrame, key: str = "event_id") -> DataFrame:
-        spark = events.sparkSession
+    def _literal_kind(self, p: Primitive) -> str | None:
+        """How a primitive's values are looked for in the search; None if it needs a column of its own."""
+        own = {"equals": predicates.equals, "exact": predicates.equals, "contains": predicates.contains, "startswith": predicates.startswith, "endswith": predicates.endswith}
+        kind = p.match_type.lower()
+        if kind == "cidr" and self.registry.matcher(kind) is predicates.cidr and not (self.config.mode == "spec" and p.modifiers):
+            return kind
+        if kind not in own or self.registry.matcher(kind) is not own[kind]:
+            return None
+        if "all" in p.modifiers and kind == "contains" and p.values and not (self.config.mode == "spec" and (len(p.modifiers) > 1 or not all(predicates.is_literal(v) for v in p.values))):
+            return "all"
+        if self.config.mode == "spec" and (set(p.modifiers) - {"case_sensitive"} or not all(predicates.is_literal(v) for v in p.values)):
+            return None
+        if kind in ("equals", "exact"):
+            return "cased" if "case_sensitive" in p.modifiers else "equals"
+        return kind
+
+    def _plan(self) -> tuple[literals.Plan, list[str], list[int], list[tuple[Rule, tuple]]]:
+        """The search, the fields that it reads, the primitives that are columns, and the rules that stay projections."""
         rows, rest = self.clauses()
-        out = None
-        if rows:
-            prims = self.ruleset.primitives
-            used = sorted({p for _, _, p, _ in rows})
-            names = sorted({prims[p].field for p in used if prims[p].field})
-            values = F.array(*[F.struct(F.lit(n).alias("field"), self.fields.field(n).alias("value")) for n in names]) if names else F.array()
-            exploded = events.select(F.col(key), F.explode(values).alias("f")).select(key, F.col("f.field").alias("field"), F.col("f.value").alias("value")).where(F.col("value").isNotNull()).withColumn("value_lc", F.lower("value"))
-            hits = self._literal_hits(spark, exploded, key, used)
-            others = self._other_hits(events, key, used)
-            hits = hits if others is None else hits.unionByName(others)
-            hits = hits.distinct()
-            table = spark.createDataFrame(rows, "rule_id int, clause int, pid int, negated boolean")
-            need = table.groupBy("rule_id", "clause").agg(F.count_if(~F.col("negated")).alias("need"))
-            table = self._small(table, len(rows) * 24)
-            counted = hits.join(table, "pid").groupBy(key, "rule_id", "clause").agg(F.count_if(~F.col("negated")).alias("have"), F.count_if("negated").alias("bad"))
-            out = counted.join(self._small(need, len(rows) * 24), ["rule_id", "clause"]).where((F.col("have") == F.col("need")) & (F.col("bad") == 0)).select(key, "rule_id").distinct()
-        size = self.config.projection_rules
-        for k in range(0, len(rest), size):
-            part = events.select(key, F.explode(self.matched(rest[k : k + size])).alias("rule_id"))
-            out = part if out is None else out.unionByName(part)
-        return events.select(key, F.lit(0).alias("rule_id")).where(F.lit(False)) if out is None else out
-
-    def _small(self, df: DataFrame, size: int) -> DataFrame:
-        """A rule table, sent to every task if its size allows."""
-        return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-    def _literal_hits(self, spark: SparkSession, exploded: DataFrame, key: str, used: list[int]) -> DataFrame:
-        """Equal, contained, leading and trailing texts: an equi-join on value for equals, on the field for the rest."""
-        equal, part = [], []
-        for pid in used:
-            p = self.ruleset.primitives[pid]
-            cased = "case_sensitive" in p.modifiers
-            if p.match_type in ("equals", "exact"):
-                equal += [(pid, p.field, v if cased else v.lower(), cased) for v in p.values]
-            elif p.match_type in ("contains", "startswith", "endswith") and not (p.match_type == "contains" and "all" in p.modifiers):
-                part += [(pid, p.field, p.match_type, v.lower()) for v in p.values]
-        equals = spark.createDataFrame(equal or [(-1, "", "", False)], "pid int, field string, v string, cased boolean")
-        parts = spark.createDataFrame(part or [(-1, "", "contains", "\0")], "pid int, field string, kind string, v string")
-        size = sum(len(x[2]) + 40 for x in equal) + sum(len(x[3]) + 48 for x in part)
-        both = exploded.withColumn("v", F.explode(F.array(F.struct(F.lit(False).alias("cased"), F.col("value_lc").alias("v")), F.struct(F.lit(True).alias("cased"), F.col("value").alias("v"))))).select(key, "field", "v.cased", "v.v")
-        a = both.join(self._small(equals, size), ["field", "cased", "v"]).select(key, "pid")
-        test = F.when(F.col("kind") == "contains", F.contains("value_lc", "v")).when(F.col("kind") == "startswith", F.startswith("value_lc", "v")).otherwise(F.endswith("value_lc", "v"))
-        b = exploded.join(self._small(parts, size), "field").where(test).select(key, "pid")
-        return a.unionByName(b)
-
-    def _other_hits(self, events: DataFrame, key: str, used: list[int]) -> DataFrame | None:
-        """Patterns, numbers, networks, similarity and "all": columns, a hundred at a time."""
         prims = self.ruleset.primitives
-        rest = [p for p in used if prims[p].match_type not in ("equals", "exact", "contains", "startswith", "endswith") or (prims[p].match_type == "contains" and "all" in prims[p].modifiers)]
-        out = None
-        for k in range(0, len(rest), 100):
-            found = F.array_compact(F.array(*[F.when(self.primitive(prims[p]), F.lit(p)) for p in rest[k : k + 100]]))
-            one = events.select(key, F.explode(found).alias("pid"))
-            out = one if out is None else out.unionByName(one)
-        return out
-
-
-def _dnf(tree: tuple, rule: Rule) -> list[frozenset[tuple[int, bool]]] | None:
-    """Alternatives of (primitive, negated) sets; None if there are more than MOST_CLAUSES.
+        used = sorted({p for _, _, p, _ in rows})
+        kinds = {p: self._literal_kind(prims[p]) for p in used if prims[p].field}
+        names = sorted({prims[p].field for p, k in kinds.items() if k})
+        number = {n: i for i, n in enumerate(names)}
+        plan = literals.Plan(uuid.uuid4().hex, clauses=rows)
+        for p, k in kinds.items():
+            f = number.get(prims[p].field)
+            if k == "cidr":
+                plan.networks += [(p, f, str(n)) for n in predicates.networks(list(prims[p].values))]
+            elif k == "all":
+                first = -1 - sum(len(parts) for _, parts in plan.alls)
+                parts = tuple(range(first, first - len(prims[p].values), -1))
+                plan.alls.append((p, parts))
+                plan.literals += [(part, f, "contains", v.lower()) for part, v in zip(parts, prims[p].values, strict=True)]
+            elif k:
+                plan.literals += [(p, f, k, v if k == "cased" else v.lower()) for v in prims[p].values]
+        return plan, names, [p for p, k in kinds.items() if not k], rest
+
+    def search(self, events: DataFrame) -> DataFrame:
+        """events with ``matched``; every other column passes through."""
+        plan, names, others, rest = self._plan()
+        prims = self.ruleset.primitives
+        own = [c for c in events.columns if c.lower() != "matched"]
+        # fields are read once, whatever number of predicates looks at them
+        asked = {p for rule, tree in rest for p in _primitives(rule, tree)} | set(others)
+        fields = [*names, *sorted({prims[p].field for p in asked if prims[p].field and not prims[p].any_field} - set(names))]
+        read = self.registry.extractor or self.fields.field
+        extra = [self.fields.all_values().alias("av")] if any(prims[p].any_field for p in asked) else []
+        rows = events.select(*[events[c].alias(f"c{i}") for i, c in enumerate(own)], *[read(n).alias(f"f{i}") for i, n in enumerate(fields)], *extra)
+        view = copy.copy(self)
+        view.fields = _Extracted({n: f"f{i}" for i, n in enumerate(fields)})
+        present = F.filter(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"f{i}").alias("v")) for i in range(len(names))]), lambda x: x["v"].isNotNull()) if names else F.array().cast("array<struct<f:int,v:string>>")
+        values = F.transform(present, lambda x: F.struct(x["f"].alias("f"), x["v"].alias("v"), F.lower(x["v"]).alias("low")))
+        none = F.array().cast("array<int>")
+        columns = [F.array_compact(F.array(*[F.when(view.primitive(prims[p]), F.lit(p)) for p in others[k : k + TOGETHER]])).cast("array<int>") for k in range(0, len(others), TOGETHER)]
+        whole = [view.matched(rest[k : k + TOGETHER]) for k in range(0, len(rest), TOGETHER)]
+        rows = rows.select(*[f"c{i}" for i in range(len(own))], values.alias("values"), F.concat(none, *columns).alias("hits"), F.concat(none, *whole).alias("whole"))
+        schema = T.StructType([*[T.StructField(f"c{i}", events.schema[c].dataType) for i, c in enumerate(own)], T.StructField("matched", T.ArrayType(T.IntegerType()))])
+        n = len(own)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = literals.ready(plan)
+            for b in batches:
+                out = []
+                for found, hits, sure in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist(), strict=True):
+                    have = set(hits)
+                    for x in found:
+                        have.update(s.in_value(x["f"], x["v"], x["low"]))
+                    out.append(sorted(s.matched(have).union(sure)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names[:n], "matched"])
+
+        done = rows.mapInArrow(run, schema)
+        return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "matched")
+
+
+def _dnf(tree: tuple, rule: Rule, counted: bool = False) -> list[frozenset[tuple[int, bool]]] | None:
+    """Alternatives of (primitive, negated) sets; None if there are more than MOST_CLAUSES, or if a count has its real meaning (``counted``).
 
     The algebra's values are pairs of the form and of its negation's, so negation is a swap.
     """
@@ -226,8 +270,11 @@ def _dnf(tree: tuple, rule: Rule) -> list[frozenset[tuple[int, bool]]] | None:
     def leaf(pid):
         return ([frozenset([(pid, False)])], [frozenset([(pid, True)])])
 
+    def at_least(n, parts):
+        raise TooMany
+
     try:
-        return condition.fold(tree, rule, leaf, both, either, lambda x: (x[1], x[0]))[0]
+        return condition.fold(tree, rule, leaf, both, either, lambda x: (x[1], x[0]), at_least if counted else None)[0]
     except TooMany:
         return None
 
@@ -239,12 +286,23 @@ def rule_table(spark: SparkSession, ruleset: Ruleset) -> DataFrame:
 
 
 def detections(matches: DataFrame, rules: DataFrame, confidence: float = 0.7) -> DataFrame:
-    """Matches (with any other columns) with their rule's name and severity; unknown rules are kept."""
-    meta = rules.select("rule_id", "rule_uid", F.coalesce(F.nullif("title", F.lit("")), F.nullif("name", F.lit(""))).alias("_name"), F.nullif("level", F.lit("")).alias("_level"))
+    """Matches (with any other columns) with their rule's name (else its title) and severity; unknown rules are kept."""
+    meta = rules.select("rule_id", "rule_uid", F.coalesce(F.nullif("name", F.lit("")), F.nullif("title", F.lit(""))).alias("_name"), F.nullif("level", F.lit("")).alias("_level"))
     joined = matches.join(meta, "rule_id", "left")
     return joined.withColumn("rule_name", F.coalesce("_name", F.concat(F.lit("rule-"), F.col("rule_id").cast("string")))).withColumn("severity", F.coalesce("_level", F.lit("medium"))).withColumn("confidence", F.lit(confidence)).drop("_name", "_level")
 
 
+def enriched(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """Stored detections as they are read: with rule_uid, rule_title, rule_level and rule_description of known rules.
+
+    What a detection was stored with has precedence: its name as the title, its severity as the level.
+    """
+    meta = rules.select("rule_id", F.col("rule_uid"), F.col("title").alias("_title"), F.col("level").alias("_level"), F.col("description").alias("rule_description"), F.lit(True).alias("_known"))
+    joined = found.drop("rule_uid").join(meta, "rule_id", "left")
+    first = lambda a, b: F.when(F.col("_known"), F.when(F.coalesce(F.col(a), F.lit("")) == "", F.col(b)).otherwise(F.col(a)))
+    return joined.withColumn("rule_title", first("rule_name", "_title")).withColumn("rule_level", first("severity", "_level")).drop("_title", "_level", "_known")
+
+
 def event_rule_links(matches: DataFrame, rules: DataFrame, key: str = "event_id") -> DataFrame:
     """One row of each event and known rule."""
     return matches.select(key, "rule_id").distinct().join(rules.select("rule_id", "rule_uid"), "rule_id").select(key, "rule_id", "rule_uid")
@@ -296,11 +354,28 @@ def prefilter_worthwhile(patterns: int, selectivity: float) -> dict[str, bool]:
     return {"recommended": patterns >= 5 and selectivity < 0.7, "useful": patterns >= 1 and selectivity < 0.8}
 
 
-def literal_occurrences(text: Column, literals: list[str]) -> Column:
-    """array<struct<literal, start, stop>> of literals in a text, for diagnosis; ``start`` from 0."""
-    lits = F.array(*[F.lit(v) for v in literals])
-    spots = F.flatten(F.transform(lits, lambda v: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(v) + 1, F.lit(1))), lambda i: F.substring(text, i, F.length(v)) == v), lambda i: F.struct(v.alias("literal"), (i - 1).alias("start"), (i - 1 + F.length(v)).alias("stop")))))
-    return spots
+def literal_primitives(engine: Engine) -> dict[str, list[int]]:
+    """Literals that the ruleset looks for, in lower case, with the numbers of the primitives that have them."""
+    out: dict[str, list[int]] = {}
+    for i, p in enumerate(engine.ruleset.primitives):
+        if engine.registry.context(p).literal_only:
+            for v in p.values:
+                if v and i not in out.setdefault(v.lower(), []):
+                    out[v.lower()].append(i)
+    return out
+
+
+def literal_occurrences(text: Column, found: dict[str, list[int]]) -> Column:
+    """array<struct<literal, start, stop, primitives>> of literals in a text, in any letter case and overlapping, for diagnosis; ``start`` from 0."""
+    kind = "array<struct<literal:string,start:int,stop:int,primitives:array<int>>>"
+
+    @F.pandas_udf(kind)
+    def occurrences(texts: pd.Series) -> pd.Series:
+        find = literals.automaton({w: (w, ps) for w, ps in found.items()})
+        spots = lambda t: sorted((end - len(w) + 1, end + 1, w, ps) for end, (w, ps) in find(t)) if t else []
+        return texts.map(lambda t: [{"literal": w, "start": a, "stop": b, "primitives": ps} for a, b, w, ps in spots(t)])
+
+    return occurrences(F.lower(text))
 
 
 def report(dropped: list[Dropped]) -> str:

@@ -8,6 +8,7 @@ process numbers) end after the rounds that the number of nodes allows.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,28 +98,40 @@ def positions(nodes: DataFrame) -> DataFrame:
     return out.select("endpoint_id", "key", F.when(F.col("done"), F.col("ptr")).alias("root"), F.when(F.col("done"), F.col("dist") + 1).alias("depth"))
 
 
+#: Recursion is bounded by the data here, as paths hold a key once; the session's limits stay as they were afterwards.
+_LIMITS = ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit")
+
+
+def _recursive(sql: str, views: dict[str, DataFrame], args: dict | None = None) -> DataFrame:
+    """The rows of a recursive query over views, which have names of their own in each call; runs at once."""
+    spark = next(iter(views.values())).sparkSession
+    mark = uuid.uuid4().hex
+    old = {n: spark.conf.get(n, None) for n in _LIMITS}
+    try:
+        for n in _LIMITS:
+            spark.conf.set(n, "-1")
+        for n, df in views.items():
+            df.createOrReplaceTempView(f"{n}_{mark}")
+        return cut(spark.sql(sql.format(**{n: f"{n}_{mark}" for n in views}), args=args or {}))
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+        for n in views:
+            spark.catalog.dropTempView(f"{n}_{mark}")
+
+
 def chain(nodes: DataFrame, endpoint: str, key: str) -> DataFrame:
     """From the root down to a node: step (root: 1), key; ends where a cycle closes."""
-    spark = nodes.sparkSession
-    nodes.where(F.col("endpoint_id") == endpoint).select("key", "parent_key").createOrReplaceTempView("_chain_nodes")
-    _unlimited(spark)
-    up = spark.sql("WITH RECURSIVE c(key, parent_key, n, path) AS (SELECT key, parent_key, 1, array(key) FROM _chain_nodes WHERE key = :key UNION ALL SELECT p.key, p.parent_key, c.n + 1, array_append(c.path, p.key) FROM c JOIN _chain_nodes p ON p.key = c.parent_key WHERE NOT array_contains(c.path, p.key)) SELECT key, n FROM c", args={"key": key})
+    own = nodes.where(F.col("endpoint_id") == endpoint).select("key", "parent_key")
+    up = _recursive("WITH RECURSIVE c(key, parent_key, n, path) AS (SELECT key, parent_key, 1, array(key) FROM {own} WHERE key = :key UNION ALL SELECT p.key, p.parent_key, c.n + 1, array_append(c.path, p.key) FROM c JOIN {own} p ON p.key = c.parent_key WHERE NOT array_contains(c.path, p.key)) SELECT key, n FROM c", {"own": own}, {"key": key})
     last = Window.orderBy(F.desc("n"))
     return up.select(F.row_number().over(last).alias("step"), "key")
 
 
-def _unlimited(spark) -> None:
-    """Recursion is bounded by the data here: paths hold a key once."""
-    for name in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
-        spark.conf.set(name, "-1")
-
-
 def descendants(nodes: DataFrame, endpoint: str, key: str) -> DataFrame:
     """All nodes below one, with their depth under it (children: 1)."""
-    spark = nodes.sparkSession
-    nodes.where(F.col("endpoint_id") == endpoint).select("key", "parent_key").createOrReplaceTempView("_below_nodes")
-    _unlimited(spark)
-    return spark.sql("WITH RECURSIVE d(key, depth, path) AS (SELECT key, 0, array(key) FROM _below_nodes WHERE key = :key UNION ALL SELECT n.key, d.depth + 1, array_append(d.path, n.key) FROM d JOIN _below_nodes n ON n.parent_key = d.key WHERE NOT array_contains(d.path, n.key)) SELECT key, depth FROM d WHERE depth > 0", args={"key": key})
+    own = nodes.where(F.col("endpoint_id") == endpoint).select("key", "parent_key")
+    return _recursive("WITH RECURSIVE d(key, depth, path) AS (SELECT key, 0, array(key) FROM {own} WHERE key = :key UNION ALL SELECT n.key, d.depth + 1, array_append(d.path, n.key) FROM d JOIN {own} n ON n.parent_key = d.key WHERE NOT array_contains(d.path, n.key)) SELECT key, depth FROM d WHERE depth > 0", {"own": own}, {"key": key})
 
 
 def snapshot(nodes: DataFrame, endpoint: str, key: str | None = None) -> DataFrame:
@@ -127,11 +140,8 @@ def snapshot(nodes: DataFrame, endpoint: str, key: str | None = None) -> DataFra
     if own.isEmpty() or (key is not None and own.where(F.col("key") == key).isEmpty()):
         raise KeyError(f"{endpoint}/{key}")
     start = roots(own) if key is None else own.where(F.col("key") == key)
-    own.select("key", "parent_key").createOrReplaceTempView("_tree_nodes")
-    start.select("key").createOrReplaceTempView("_tree_roots")
-    spark = nodes.sparkSession
-    _unlimited(spark)
-    rows = spark.sql("WITH RECURSIVE t(key, depth, path) AS (SELECT key, 1, array(key) FROM _tree_roots UNION ALL SELECT n.key, t.depth + 1, array_append(t.path, n.key) FROM t JOIN _tree_nodes n ON n.parent_key = t.key WHERE NOT array_contains(t.path, n.key)) SELECT key, depth, path FROM t")
+    views = {"own": own.select("key", "parent_key"), "start": start.select("key")}
+    rows = _recursive("WITH RECURSIVE t(key, depth, path) AS (SELECT key, 1, array(key) FROM {start} UNION ALL SELECT n.key, t.depth + 1, array_append(t.path, n.key) FROM t JOIN {own} n ON n.parent_key = t.key WHERE NOT array_contains(t.path, n.key)) SELECT key, depth, path FROM t", views)
     top = start.select(F.col("key").alias("_root"), F.col("last_seen").alias("_seen"))
     return rows.join(own, "key").join(top, F.col("path")[0] == F.col("_root")).orderBy(F.desc("_seen"), "path").drop("_root", "_seen")
 
@@ -227,6 +237,7 @@ def recommendations(risk: Column, threats: Column) -> Column:
     return F.flatten(F.array_compact(F.array(*level, *threat)))
 
 
+# The report's words.
 def report(row: dict, pairs: list[dict], found: list[dict], n_pairs: int | None = None, n_found: int | None = None) -> str:
     """The text report of one endpoint's analysis; the counts are of all, where not all are listed."""
     n_pairs, n_found = len(pairs) if n_pairs is None else n_pairs, len(found) if n_found is None else n_found

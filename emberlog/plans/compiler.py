@@ -15,7 +15,7 @@ class RuleError(ValueError):
     pass
 
 
-class _Loader(yaml.SafeLoader):
+class _Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """YAML 1.2 scalars: only true and false are booleans, and dates stay text."""
 
 

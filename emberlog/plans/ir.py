@@ -102,7 +102,7 @@ class EngineConfig:
     prefilter: bool = True
     max_memory_bytes: int = 512 << 20
     mode: str = "reference"
-    #: Rules up to this number become one projection; larger rulesets are joined.
+    #: Rules up to this number become one projection; larger rulesets are searched for.
     projection_rules: int = 100
 
     @classmethod

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import predicates as P
 from .functions import transforms as X
-from .functions.fields import JsonEvents, TypedEvents, basename_lower
+from .functions.fields import JsonEvents, TypedEvents, basename_lower, endpoint_columns, node_key, process_columns
 from .operators import correlate, detect, proctree, views
-from .plans.compiler import compile_rules
+from .plans.compiler import FieldMapping, compile_rules
 from .plans.ir import EngineConfig, Primitive, Ruleset
 from .sources import feeds
+from .sources.scratch import cut
 from .sources.store import latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +72,7 @@ primitive_query("match_range_advanced", "lineitem", "l_orderkey", Primitive("l_q
 primitive_query("match_range_negative", "customer", "c_custkey", Primitive("c_acctbal", "range", ("-500-100.5",)), "c_acctbal BETWEEN -500 AND 100.5", advanced=True)
 primitive_query("match_fuzzy", "part", "p_partkey", Primitive("p_brand", "fuzzy", ("Brand#12",)), "CASE WHEN p_brand = 'Brand#12' THEN 1.0 ELSE 1 - levenshtein(p_brand, 'Brand#12') / greatest(length(p_brand), 8) END >= 0.8")
 primitive_query("match_fuzzy_threshold", "part", "p_partkey", Primitive("p_type", "fuzzy", ("STANDARD BRASS",), ("threshold:0.5",)), "CASE WHEN p_type = 'STANDARD BRASS' THEN 1.0 ELSE 1 - levenshtein(p_type, 'STANDARD BRASS') / greatest(length(p_type), 14) END >= 0.5")
+primitive_query("match_fuzzy_advanced", "part", "p_partkey", Primitive("p_brand", "fuzzy", ("Brand#12",), ("fuzzy:0.85", "threshold:5")), "CASE WHEN p_brand = 'Brand#12' THEN 1.0 ELSE 1 - levenshtein(p_brand, 'Brand#12') / greatest(length(p_brand), 8) END >= 0.85", advanced=True)
 primitive_query("match_any_field", "nation", "n_nationkey", Primitive("*any*", "equals", ("FRANCE", "3", "nation_7")), "list_contains([lower(CAST(n_nationkey AS VARCHAR)), lower(n_name), CAST(n_regionkey AS VARCHAR)], 'france') OR list_contains([CAST(n_nationkey AS VARCHAR), CAST(n_regionkey AS VARCHAR)], '3') OR lower(n_name) = 'nation_7'")
 primitive_query("match_any_field_json", "events", "event_id", Primitive("*any*", "equals", ("42",)), "json_extract_string(props, '$.k') = '42'", json="props")
 primitive_query("match_unknown_type_is_exact", "events", "event_id", Primitive("event_type", "sounds", ("VIEW",)), "lower(event_type) = 'view'")
@@ -217,13 +219,39 @@ def rules_matched(spark, sf_dir):
     return df.select("event_id", engine.matched().alias("m")).where(F.size("m") > 0).select("event_id", F.array_join("m", ",").alias("matched"))
 
 
-@query(_MATCHES.replace(f" UNION ALL SELECT event_id, CAST(9 AS INTEGER) AS rule_id FROM events WHERE {RULE_SQL[9]}", ""))
-def rules_exploded_join_plan(spark, sf_dir):
+@query(_MATCHES)
+def rules_searched(spark, sf_dir):
     """The plan for large rulesets, forced."""
     df = read(spark, sf_dir, "events")
-    text = "---".join(t for t in RULES.split("---") if "name: keyword" not in t)
-    engine = engine_for(df, text.replace("title: Upper-case", "id: 10\ntitle: Upper-case"), EngineConfig(projection_rules=1))
-    return engine.matches(df).select("event_id", F.col("rule_id").cast("int").alias("rule_id"))
+    engine = engine_for(df, config=EngineConfig(projection_rules=1))
+    for n in ("event_id", "value", "user_id"):
+        engine.fields.names.pop(n)
+    return engine.matches(df)
+
+
+#: A generated ruleset: rule i wants event types by their beginning, a tag that holds its number, and not one key.
+LARGE = 3500
+_KINDS = ("cli", "vie", "pur", "err", "sig")
+
+
+def large_rules(n: int = LARGE) -> str:
+    one = "title: Generated {i}\nid: {i}\nname: generated_{i}\nlevel: low\ndetection:\n  kind: {{event_type|startswith: [{kind}, none{i}]}}\n  tag: {{tag|contains: ['-{i}-', 'zz{i}zz']}}\n  not_key: {{k: {key}}}\n  condition: kind and tag and not not_key\n"
+    return "---\n".join(one.format(i=i, kind=_KINDS[i % 5].upper(), key=i % 100) for i in range(1, n + 1))
+
+
+def tagged_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TypedEvents]:
+    """events with a tag of three numbers."""
+    tag = F.concat(F.lit("T-"), *[x for k in (1, 7, 31) for x in ((F.col("event_id") * k % 5000).cast("string"), F.lit("-"))])
+    df = read(spark, sf_dir, "events").withColumn("tag", tag)
+    return df, TypedEvents(df, {"event_type": "event_type", "tag": "tag", "k": F.get_json_object("props", "$.k")})
+
+
+@query(f"""WITH t AS (SELECT event_id, lower(event_type) AS e, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, unnest([event_id % 5000, event_id * 7 % 5000, event_id * 31 % 5000]) AS i FROM events)
+  SELECT DISTINCT event_id, CAST(i AS INTEGER) AS rule_id FROM t WHERE i BETWEEN 1 AND {LARGE} AND starts_with(e, [{", ".join(f"'{k}'" for k in _KINDS)}][1 + CAST(i % 5 AS INTEGER)]) AND coalesce(k <> i % 100, true)""")
+def rules_large(spark, sf_dir):
+    """3,500 rules over all events."""
+    df, fields = tagged_events(spark, sf_dir)
+    return detect.Engine(compile_rules([large_rules()]), fields).matches(df)
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, detect.Engine]:
@@ -234,7 +262,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, detect.Engine
     return df.withColumn("matched", engine.matched()), engine
 
 
-_META = "(VALUES (1,'Errors','high'),(2,'Purchases with a small key','low'),(3,'Views or clicks but not of key 7 to 9','informational'),(4,'Every selection','medium'),(5,'List of maps','critical'),(6,'Counted pattern, the count isn''t looked at','medium'),(7,'Them','medium'),(9,'Keyword','medium'),(10,'Upper-case operators end the condition','medium')) AS m(rule_id, rule_name, severity)"
+_META = "(VALUES (1,'errors','high'),(2,'small_purchase','low'),(3,'not_seven','informational'),(4,'every','medium'),(5,'listed','critical'),(6,'counted','medium'),(7,'them','medium'),(9,'keyword','medium'),(10,'upper','medium')) AS m(rule_id, rule_name, severity)"
 
 
 @query(f"SELECT x.event_id, x.rule_id, m.rule_name, m.severity, CAST(0.7 AS DOUBLE) AS confidence FROM ({_MATCHES}) x JOIN {_META} ON x.rule_id = m.rule_id")
@@ -244,6 +272,16 @@ def detections_enriched(spark, sf_dir):
     return detect.detections(hits, detect.rule_table(spark, engine.ruleset)).select("event_id", "rule_id", "rule_name", "severity", "confidence")
 
 
+@query(f"SELECT x.event_id, x.rule_id, CASE WHEN x.rule_id = 1 THEN '00000000-aaaa-0000-0000-000000000001' ELSE 'rid-' || x.rule_id END AS rule_uid, CASE WHEN x.rule_id % 2 = 0 THEN m.rule_name ELSE t.title END AS rule_title, m.severity AS rule_level, '' AS rule_description FROM ({_MATCHES}) x JOIN {_META} ON x.rule_id = m.rule_id JOIN (VALUES (1,'Errors'),(2,''),(3,'Views or clicks but not of key 7 to 9'),(4,''),(5,'List of maps'),(6,''),(7,'Them'),(9,'Keyword'),(10,'')) t(rule_id, title) ON t.rule_id = x.rule_id")
+def detections_read(spark, sf_dir):
+    """Stored detections, some without a name, as they are read."""
+    df, engine = _matches(spark, sf_dir)
+    rules = detect.rule_table(spark, engine.ruleset)
+    found = detect.detections(df.select("event_id", F.explode("matched").alias("rule_id")), rules).drop("rule_uid")
+    stored = found.withColumn("rule_name", F.when(F.col("rule_id") % 2 == 0, F.col("rule_name")).otherwise(""))
+    return detect.enriched(stored, rules).select("event_id", "rule_id", "rule_uid", "rule_title", "rule_level", "rule_description")
+
+
 @query(f"SELECT DISTINCT event_id, rule_id, CASE WHEN rule_id = 1 THEN '00000000-aaaa-0000-0000-000000000001' ELSE 'rid-' || rule_id END AS rule_uid FROM ({_MATCHES})")
 def event_rule_links(spark, sf_dir):
     df, engine = _matches(spark, sf_dir)
@@ -257,15 +295,28 @@ def batch_group_threshold(spark, sf_dir):
     return detect.batch_threshold(hits, ["user_id"], 5).select("rule_id", F.col("user_id").cast("long").alias("user_id"), "n")
 
 
-@query("SELECT event_id FROM events WHERE lower(event_type) = 'error' OR (lower(event_type) = 'purchase' AND CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 0 AND 20)")
+_IMPLIED = (1, 2, 3, 4, 5, 6, 7, 10)
+
+
+@query(f"SELECT DISTINCT event_id FROM ({_MATCHES}) WHERE rule_id IN {_IMPLIED}")
 def prefilter_is_implied(spark, sf_dir):
-    """Rules behind the test of their literals: nothing that matches is lost."""
+    """All rules that imply literals, behind the test of these: nothing that matches is lost."""
     df = read(spark, sf_dir, "events")
-    engine = engine_for(df, "---".join(RULES.split("---")[:2]))
+    texts = RULES.split("---")
+    engine = engine_for(df, "---".join(f"\nid: {i}{texts[i - 1]}" if i > 1 else texts[0] for i in _IMPLIED))
     raw = F.concat_ws(" ", "event_type", "props")
     return df.where(detect.prefilter(engine, raw)).where(F.size(engine.matched()) > 0).select("event_id")
 
 
+@query("SELECT event_id, CAST(i AS INTEGER) AS start, l AS literal FROM (SELECT event_id, lower(event_type) AS e, unnest(range(0, length(event_type))) AS i FROM events), (VALUES ('er'), ('r'), ('error'), ('ic'), ('rr')) v(l) WHERE substr(e, i + 1, length(l)) = l")
+def prefilter_listing(spark, sf_dir):
+    """Where literals stand, overlapping ones too."""
+    df = read(spark, sf_dir, "events")
+    engine = engine_for(df, "detection: {a: {event_type|contains: [ER, r, error]}, b: {event_type|contains: [IC, rr, r]}, condition: a or b}")
+    found = df.select("event_id", F.explode(detect.literal_occurrences(F.col("event_type"), detect.literal_primitives(engine))).alias("o"))
+    return found.select("event_id", "o.start", "o.literal")
+
+
 def _fold_sql(groups: str, span_us: int, gte: int) -> str:
     """The window with its restart and reset as recursion over a group's events in order. ``groups``: SQL with g, t, event_id."""
     return f"""
@@ -299,6 +350,28 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.correlate(seen, engine.ruleset, {"user_id": F.col("user_id")})
 
 
+@query(ORACLE_SQL["correlation_value_count"])
+def correlation_incremental(spark, sf_dir):
+    """The same alerts where the table comes in four batches by time, each going on from the state before it."""
+    df = read(spark, sf_dir, "events")
+    engine = engine_for(df, RULES + "---" + CORRELATIONS)
+    for n in ("event_id", "value"):
+        engine.fields.names.pop(n)
+    counted = cut(correlate.triggers(engine.evaluate(df), engine.ruleset, {"user_id": F.col("user_id")}).where("correlation = 0"))
+    ends = [None, *[F.lit(f"2024-01-{d:02d}").cast("timestamp") for d in (9, 16, 23)], None]
+    state, out = None, None
+    for lo, hi in zip(ends, ends[1:], strict=False):
+        part = counted
+        for bound, keep in ((lo, lambda t, b: t >= b), (hi, lambda t, b: t < b)):
+            part = part if bound is None else part.where(keep(F.col("ts"), bound))
+        folded = cut(correlate.fold_windows(part, state))
+        new = folded.where("is_state").select("rule_name", "group_key", "start", "n")
+        state = new if state is None else cut(new.unionByName(state.join(new, ["rule_name", "group_key"], "left_anti")))
+        alerts = correlate.alerts_of(folded)
+        out = alerts if out is None else out.unionByName(alerts)
+    return out.select("rule_name", "event_id", "window_start", "alert_ts", "n")
+
+
 @query("SELECT 'many_errors' AS rule_name, count(DISTINCT user_id) AS windows FROM events WHERE event_type = 'error'")
 def correlation_windows(spark, sf_dir):
     df = read(spark, sf_dir, "events")
@@ -516,15 +589,14 @@ def risk_score(spark, sf_dir):
     return out.select("process_key", "detections", F.round("score", 4).alias("score"), "risk")
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '([^/]*)$', 1)) AS base FROM pages WHERE NOT ends_with(url, '/')")
+@query("SELECT page_id, lower(CASE WHEN ends_with(url, '/') THEN url ELSE regexp_extract(url, '([^/]*)$', 1) END) AS base FROM pages")
 def executable_basename(spark, sf_dir):
-    return read(spark, sf_dir, "pages").where(~F.endswith("url", F.lit("/"))).select("page_id", basename_lower(F.col("url")).alias("base"))
+    """A path that ends with a slash stays whole."""
+    return read(spark, sf_dir, "pages").select("page_id", basename_lower(F.col("url")).alias("base"))
 
 
 @query("SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 'a' || event_id WHEN event_id % 3 = 1 THEN 'g' || event_id ELSE '' END AS VARCHAR) AS endpoint_id, 'h' || user_id AS host_name, '1.' || (event_id % 5) AS agent_version FROM events")
 def endpoint_extraction(spark, sf_dir):
-    from .functions.fields import endpoint_columns
-
     df = read(spark, sf_dir, "events")
     raw = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("a"), F.col("event_id").cast("string"))).alias("endpoint_id"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("g"), F.col("event_id").cast("string"))).alias("agent.id"), F.struct(F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("name")).alias("host"), F.concat(F.lit("1."), (F.col("event_id") % 5).cast("string")).alias("agent.version")))
     cols = endpoint_columns(JsonEvents())
@@ -565,6 +637,97 @@ def spec_mode_comparison(spark, sf_dir):
     return engine_for(df, text, EngineConfig(mode="spec")).matches(df).select("event_id")
 
 
+ODD = """
+name: timeframe
+detection: {a: {event_type: view}, timeframe: 5m, condition: a}
+---
+name: fieldless
+detection: {a: {'|contains': er}, b: {event_type: error}, condition: a or b}
+---
+name: empty
+detection: {a: {}, b: {event_type: error}, condition: a or b}
+---
+name: them
+detection: {a: {event_type: click}, b: {event_type: view}, condition: 2 of them}
+---
+name: merged
+detection: {a: [{event_type: signup}, {event_type: click, k: 3}, 'nothing-has-this'], condition: a}
+"""
+
+
+@query("SELECT event_id, CAST(1 AS INTEGER) AS rule_id FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 2 FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 5 FROM events WHERE event_type = 'signup' OR (event_type = 'click' AND json_extract_string(props, '$.k') = '3')")
+def rules_odd_shapes(spark, sf_dir):
+    """A time frame is no selection, a suffix without a field never holds, and rules that name an empty selection or count "them" are dropped."""
+    df = read(spark, sf_dir, "events")
+    return engine_for(df, ODD).matches(df)
+
+
+@query("SELECT event_id, CAST(1 AS INTEGER) AS rule_id FROM events WHERE event_type = 'error'")
+def rules_renamed_and_skipped(spark, sf_dir):
+    """Fields by a mapping; texts that are no rules (a list as condition, a null value) are reported and passed over."""
+    df = read(spark, sf_dir, "events")
+    texts = ["detection: {a: {kind: error}, condition: a}", "detection: {a: {kind: view}, condition: [a]}", "detection: {a: {kind: null}, condition: a}", "detection: ["]
+    rules = compile_rules(texts, FieldMapping({"kind": "event_type"}), skip_bad=True)
+    return detect.Engine(rules, fields_of(df)).matches(df).where(F.lit(len(rules.dropped) == 3))
+
+
+@query("SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN 'a' || event_id ELSE 'h' || user_id END AS VARCHAR) AS endpoint_id, 'h' || user_id AS host_name FROM events")
+def endpoint_extraction_by_host(spark, sf_dir):
+    """Without an id of its own, an endpoint is its host."""
+    df = read(spark, sf_dir, "events")
+    raw = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("a"), F.col("event_id").cast("string"))).alias("endpoint_id"), F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("hostname")))
+    cols = endpoint_columns(JsonEvents(), fall_back_to_host=True)
+    return df.select("event_id", raw.alias("event")).select("event_id", *[cols[n].alias(n) for n in ("endpoint_id", "host_name")])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 1000 AS VARCHAR) ELSE 'g' || event_id END AS own, CASE WHEN event_id % 2 = 0 THEN 'pid:' || (event_id % 1000) ELSE 'g' || event_id END AS key, '/bin/' || event_type AS executable, 'run ' || event_id AS command_line, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM events")
+def process_extraction(spark, sf_dir):
+    """Process attributes in the nested and the flat layout."""
+    df = read(spark, sf_dir, "events")
+    text = lambda *cs: F.concat(*[c if not isinstance(c, str) else F.lit(c) for c in cs])
+    n, exe, run = F.col("event_id").cast("string"), text("/bin/", F.col("event_type")), text("run ", F.col("event_id").cast("string"))
+    nested = F.to_json(F.struct(F.struct((F.col("event_id") % 1000).alias("pid"), exe.alias("executable"), run.alias("command_line")).alias("process"), F.lit("2024-01-01T00:00:00Z").alias("@timestamp")))
+    flat = F.to_json(F.struct(text("g", n).alias("winlog.event_data.ProcessGuid"), exe.alias("Image"), run.alias("CommandLine"), F.struct(F.lit("2024-01-01T00:00:00Z").alias("ingested")).alias("event")))
+    cols = process_columns(JsonEvents())
+    rows = df.select("event_id", F.when(F.col("event_id") % 2 == 0, nested).otherwise(flat).alias("event")).select("event_id", *[cols[c].alias(c) for c in ("entity_id", "pid", "executable", "command_line", "ts")])
+    return rows.select("event_id", F.coalesce(F.nullif("entity_id", F.lit("")), "pid").alias("own"), node_key(F.col("entity_id"), F.col("pid")).alias("key"), "executable", "command_line", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("SELECT event_id, CAST(event_id AS VARCHAR) AS code, 'h' || user_id AS host_name, 'h' || user_id AS endpoint_id, '/bin/' || event_type AS image, 'winlogbeat-8.11.0' AS agent FROM events")
+def windows_feed(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    host = F.concat(F.lit("h"), F.col("user_id").cast("string"))
+    raw = F.to_json(F.struct(F.struct(host.alias("name")).alias("host"), F.struct(F.col("event_id"), F.struct(F.concat(F.lit("/bin/"), F.col("event_type")).alias("Image")).alias("event_data")).alias("winlog")))
+    out = feeds.windows_feed(df.select(raw.alias("event")))
+    return out.select(F.col("event_id").cast("long").alias("event_id"), F.col("event_id").alias("code"), "host_name", "endpoint_id", F.col("`event_data.Image`").alias("image"), F.col("`agent.version`").alias("agent"))
+
+
+@query("SELECT event_id, 'm' || user_id AS endpoint_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS message, 'linux' AS product, 'sshd' AS service FROM events")
+def journal_feed(spark, sf_dir):
+    df = read(spark, sf_dir, "events")
+    raw = F.to_json(F.struct(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("_MACHINE_ID"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("MESSAGE"), F.col("event_id").cast("string").alias("SYSLOG_IDENTIFIER")))
+    out = feeds.journal_feed(df.select(raw.alias("event")))
+    return out.select(F.col("EventID").cast("long").alias("event_id"), "endpoint_id", "message", F.col("event.product").alias("product"), F.col("event.service").alias("service"))
+
+
+@query(f"WITH RECURSIVE {_NODES}, t AS (SELECT key, CAST(1 AS BIGINT) AS depth, [key] AS path FROM n WHERE endpoint_id = '0' AND parent_key IS NULL UNION ALL SELECT n.key, t.depth + 1, list_append(t.path, n.key) FROM t JOIN n ON n.endpoint_id = '0' AND n.parent_key = t.key) SELECT key, depth, array_to_string(path, '/') AS path FROM t")
+def tree_snapshot(spark, sf_dir):
+    return proctree.snapshot(nodes_of(spark, sf_dir), "0").select("key", F.col("depth").cast("long").alias("depth"), F.array_join("path", "/").alias("path"))
+
+
+@query(f"SELECT count(*) AS total, {', '.join(f"count(*) FILTER (WHERE risk = '{r}') AS {r}" for r in ('critical', 'high', 'medium', 'low'))}, round(avg(score), 3) AS avg_score FROM ({ORACLE_SQL['risk_score']})")
+def risk_stats(spark, sf_dir):
+    return proctree.risk_stats(risk_score(spark, sf_dir)).withColumn("avg_score", F.round("avg_score", 3))
+
+
+@query(f"SELECT process_key, len(CASE risk WHEN 'critical' THEN [1, 2, 3] WHEN 'high' THEN [1, 2, 3] WHEN 'medium' THEN [1, 2] ELSE [] END) + CASE WHEN CAST(process_key AS BIGINT) % 3 = 0 THEN 2 ELSE 0 END AS n FROM ({ORACLE_SQL['risk_score']}) WHERE score >= 1")
+def risk_recommendations(spark, sf_dir):
+    """Advice for processes of high risk, by level and threat."""
+    threats = F.when(F.col("process_key").cast("long") % 3 == 0, F.array(F.lit("lateral_movement"))).otherwise(F.array(F.lit("x")))
+    rows = proctree.high_risk(risk_score(spark, sf_dir))
+    return rows.select("process_key", F.size(proctree.recommendations(F.col("risk"), threats)).cast("long").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over events, correlated into alerts."""
     return _alerts(spark, sf_dir)

@@ -7,11 +7,11 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.fields import JsonEvents, endpoint_columns, process_columns
+from .functions.fields import JsonEvents, process_columns
 from .functions.registry import Registry
 from .operators import proctree, views
-from .operators.correlate import alert_rows, correlate
-from .operators.detect import Engine, detections, event_rule_links, rule_table
+from .operators.detect import Engine, enriched, rule_table
+from .operators.ingest import ingest_batch
 from .plans.compiler import compile_rules
 from .plans.ir import EngineConfig, Ruleset
 from .sources import feeds
@@ -41,34 +41,18 @@ class Service:
         """All or nothing: the first bad rule raises, and the old ruleset stays in force."""
         return self.load(compile_rules(texts)).rule_count()
 
-    def _ids(self, rows: DataFrame, batch: int) -> DataFrame:
-        return rows.withColumn("event_id", F.xxhash64(F.lit(batch), F.monotonically_increasing_id()))
-
     def ingest(self, payloads: DataFrame, batch: int | None = None) -> dict[str, DataFrame]:
-        """Bodies (column ``payload``) to stored events, detections, links, alerts and endpoints."""
-        batch = time.time_ns() if batch is None else batch
-        events = feeds.parse_payloads(payloads).where(F.col("event").isNotNull()).select("event", F.current_timestamp().alias("received_at"))
-        owner = {n: c.alias(n) for n, c in endpoint_columns(self.engine.fields).items()}
-        self.store.put_batch("events", self._ids(events, batch).select("*", owner["endpoint_id"]), batch)
-        stored = self.spark.read.parquet(f"{self.store.root}/events/batch={batch}")
-        self.store.put_batch("endpoints", stored.select("received_at", *[c for n, c in owner.items()]).where(F.col("endpoint_id") != "").withColumnRenamed("received_at", "last_seen"), batch)
-        seen = self.engine.evaluate(stored)
-        rules = rule_table(self.spark, self.engine.ruleset)
-        hits = seen.select("event_id", "endpoint_id", F.col("received_at").alias("occurred_at"), F.col("event").alias("context"), F.explode("matched").alias("rule_id"))
-        found = detections(hits, rules).drop("rule_uid")
-        if self.engine.ruleset.correlations:
-            groups = {g: self.engine.fields.flat(g) for c in self.engine.ruleset.correlations for g in c.group_by}
-            alerts = alert_rows(correlate(seen.withColumn("ts", F.col("received_at")), self.engine.ruleset, groups), self.engine.ruleset)
-            with_event = alerts.join(stored.select("event_id", "endpoint_id", F.col("event").alias("context")), "event_id")
-            found = found.unionByName(with_event.select(*found.columns))
-        self.store.put_batch("detections", found, batch)
-        self.store.put_batch("event_rules", event_rule_links(hits, rules), batch)
-        return {t: self.spark.read.parquet(f"{self.store.root}/{t}/batch={batch}") for t in ("events", "detections", "event_rules", "endpoints")}
+        """Bodies (column ``payload``) to stored events, detections, links, alerts and endpoints.
+
+        Batches are numbered rising; correlation windows go on from one call to the next.
+        """
+        events = feeds.parse_payloads(payloads).where(F.col("event").isNotNull()).select("event")
+        return ingest_batch(self.store, self.engine, events, time.time_ns() if batch is None else batch)
 
     def evaluate_raw(self, events: DataFrame) -> DataFrame:
         """Raw texts (column ``event``) with ``matched``, or an error where a text is no JSON."""
         bad = F.try_parse_json("event").isNull()
-        return events.withColumn("error", F.when(bad, F.lit("invalid JSON"))).withColumn("matched", F.when(~bad, self.engine.matched()))
+        return self.engine.evaluate(events).withColumn("error", F.when(bad, F.lit("invalid JSON"))).withColumn("matched", F.when(~bad, F.col("matched")))
 
     def stats(self) -> dict:
         return {"rules": self.store.read("rules").count(), "endpoints": self.store.read("endpoints").count(), "events": self.store.read("events").count(), "detections": self.store.read("detections").count()}
@@ -77,7 +61,8 @@ class Service:
         return views.newest_endpoints(self.store.read("endpoints"))
 
     def detections(self, limit: int | None = None) -> DataFrame:
-        return self.store.read("detections").orderBy(F.desc("occurred_at"), F.desc("event_id"), "rule_id").limit(views.clamp(limit, 200, 1000))
+        """Newest first, with what is known of their rules."""
+        return enriched(self.store.read("detections"), self.store.read("rules")).orderBy(F.desc("occurred_at"), F.desc("event_id"), "rule_id").limit(views.clamp(limit, 200, 1000))
 
     def rules(self, limit: int | None = None) -> DataFrame:
         found = self.store.read("detections").join(self.store.read("rules").select("rule_id", "rule_uid"), "rule_id")

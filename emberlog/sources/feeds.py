@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fields import JsonEvents, first_present
+from ..functions.fields import JsonEvents, first_present, let
 
 
 def parse_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -73,30 +73,36 @@ def journal_normalise(events: DataFrame, column: str = "event") -> DataFrame:
 def key_values(text: Column) -> Column:
     """map of the key=value words of a text; quotes around values go, the last of equal keys stays."""
     words = F.regexp_extract_all(text, F.lit(r"""(?:^|\s)([^\s=]+=(?:"[^"]*"|\S*))"""), F.lit(1))
-    pairs = F.transform(words, lambda w: F.struct(F.regexp_extract(w, r"(?s)^([^=]+)=", 1).alias("key"), F.regexp_replace(F.regexp_extract(w, r"(?s)^[^=]+=(.*)$", 1), '^"|"$', "").alias("value")))
-    last = F.filter(pairs, lambda p: F.element_at(F.filter(pairs, lambda q: q["key"] == p["key"]), -1)["value"] == p["value"])
-    return F.map_from_entries(F.array_distinct(last))
 
+    def pair(w: Column) -> Column:
+        raw = F.substring(w, F.instr(w, "=") + 1, F.length(w))
+        value = F.when(F.contains(raw, F.lit('"')), F.regexp_replace(raw, '^"|"$', "")).otherwise(raw)
+        return F.struct(F.substring_index(w, "=", 1).alias("key"), value.alias("value"))
 
-def audit_parse(lines: DataFrame, column: str = "message") -> DataFrame:
-    """Audit records: time, number, and the keys of the record and of its quoted message."""
-    m = F.col(column)
-    sep = "\x1d"
-    kernel = F.regexp_extract(m, rf"(?s)^.*\bmsg=(audit\(.*){sep}", 1)
-    prefix, suffix = F.regexp_extract(m, rf"(?s)^(.*)\bmsg=audit\(.*{sep}", 1), F.regexp_extract(m, rf"(?s)^.*\bmsg=audit\(.*{sep}(.*)$", 1)
-    head = r"(?s)^audit\(([0-9.]+):(\d+)\):\s*(.*)$"
-    rest = F.coalesce(F.nullif(F.regexp_extract(kernel, head, 3), F.lit("")), kernel)
-    quoted = r"(?s)^(.*)\bmsg='([^']*)'(.*)$"
-    body = F.when(rest.rlike(quoted), F.concat_ws(" ", *[F.regexp_extract(rest, quoted, i) for i in (1, 2, 3)])).otherwise(rest)
-    stamp = F.regexp_extract(kernel, head, 1).try_cast("decimal(20,6)")
-    return lines.select("*", F.timestamp_micros((stamp * 1000000).cast("long")).alias("timestamp"), F.regexp_extract(kernel, head, 2).try_cast("long").alias("seqno"), key_values(F.concat_ws(" ", prefix, suffix, body)).alias("fields"))
-
+    # backwards, the first of equal keys is the last of the text
+    def last(pairs: Column) -> Column:
+        return let(F.transform(pairs, lambda p: p["key"]), lambda keys: F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1))
 
-def identity_of(events: DataFrame, column: str = "event") -> DataFrame:
-    """events with the endpoint's columns."""
-    from ..functions.fields import endpoint_columns
+    return F.map_from_entries(F.reverse(let(F.reverse(F.transform(words, pair)), last)))
 
-    return events.select("*", *[c.alias(n) for n, c in endpoint_columns(JsonEvents(column)).items()])
 
-
-__all__ = ["audit_parse", "first_present", "identity_of", "journal_feed", "journal_normalise", "key_values", "parse_payloads", "read_ndjson", "windows_feed"]
+def audit_parse(lines: DataFrame, column: str = "message") -> DataFrame:
+    """Audit records: time, number, and the keys of the record and of its quoted message."""
+    m = F.col(column)
+    sep, apart = "\x1d", "\x1d\x1d"
+    # what comes before the record, the record, and what follows its separator, in one pass
+    three = F.split(F.regexp_replace(m, rf"(?s)^(.*)\bmsg=(audit\(.*){sep}(.*)$", f"$1{apart}$2{apart}$3"), apart, -1)
+    cut = lines.withColumn("_p", F.when(F.size(three) == 3, three))
+    part = lambda i: F.coalesce(F.get("_p", F.lit(i)), F.lit(""))
+    # "audit(time:number): " stands at the record's start
+    head = r"(?s)^audit\(([0-9.]+):(\d+)\):\s*"
+    known = cut.withColumn("_h", F.regexp_extract(part(1), head, 0))
+    inside = F.regexp_replace("_h", r"^audit\(|\):\s*$", "")
+    rest = F.substring(part(1), F.length("_h") + 1, F.length(part(1)))
+    rest = F.when(rest == "", part(1)).otherwise(rest)
+    body = F.regexp_replace(rest, r"(?s)^(.*)\bmsg='([^']*)'(.*)$", "$1 $2 $3")
+    stamp = F.substring_index(inside, ":", 1).try_cast("decimal(20,6)")
+    return known.select(*[known[c] for c in lines.columns], F.timestamp_micros((stamp * 1000000).cast("long")).alias("timestamp"), F.when(F.col("_h") != "", F.substring_index(inside, ":", -1)).try_cast("long").alias("seqno"), key_values(F.concat_ws(" ", part(0), part(2), body)).alias("fields"))
+
+
+__all__ = ["audit_parse", "first_present", "journal_feed", "journal_normalise", "key_values", "parse_payloads", "read_ndjson", "windows_feed"]

@@ -1,4 +1,4 @@
-"""The five tables of the service, as Parquet folders that grow by batches.
+"""The tables of the service, as Parquet folders that grow by batches.
 
 A batch is a partition folder; writing a batch again replaces it.  Keyed tables (rules, endpoints) keep
 every version, and a read takes the last of each key.
@@ -16,6 +16,7 @@ SCHEMAS = {
     "endpoints": "endpoint_id string, host_name string, ip string, agent_version string, last_seen timestamp",
     "events": "event_id long, received_at timestamp, endpoint_id string, event string",
     "event_rules": "event_id long, rule_id int",
+    "windows": "rule_name string, group_key string, correlation int, is_state boolean, start long, t long, event_id long, n int, seq long",
     "detections": "rule_id int, event_id long, endpoint_id string, occurred_at timestamp, context string, rule_name string, severity string, confidence double",
 }
 KEYS = {"rules": ("rule_uid", "created_at"), "endpoints": ("endpoint_id", "last_seen")}
@@ -41,12 +42,17 @@ class Store:
 
         return StructType.fromDDL(SCHEMAS[table])
 
+    def batch(self, table: str, batch: int) -> DataFrame:
+        """The rows of one batch."""
+        return self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/{table}/batch={batch}")
+
     def all(self, table: str) -> DataFrame:
         """Every stored row; an empty table before its first batch."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], self._schema(table))
-        return self.spark.read.schema(self._schema(table)).option("recursiveFileLookup", "true").parquet(f"{self.root}/{table}")
+        # the batch's number is a partition column, so a reader of few batches reads few
+        return self.spark.read.schema(f"{SCHEMAS[table]}, batch long").parquet(f"{self.root}/{table}").drop("batch")
 
     def read(self, table: str) -> DataFrame:
         """Current rows: last of each key, links once."""

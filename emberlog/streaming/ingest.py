@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.fields import endpoint_columns
-from ..operators.detect import Engine, detections, event_rule_links, rule_table
+from ..operators.detect import Engine
+from ..operators.ingest import ingest_batch
 from ..sources.store import Store
 
 
@@ -18,28 +17,18 @@ def read_ndjson(spark: SparkSession, path: str, max_files: int = 100) -> DataFra
 
 
 def evaluate_stream(events: DataFrame, engine: Engine) -> DataFrame:
-    """Stateless: the same columns as over a batch."""
-    return events.withColumn("matched", engine.matched())
+    """Stateless: the same columns and the same plan as over a batch."""
+    return engine.evaluate(events)
 
 
 def ingest(events: DataFrame, engine_of: Callable[[], Engine], store: Store, checkpoint: str, trigger: dict | None = None):
-    """Starts a query that stores events, links, detections and endpoints.
+    """Starts a query that stores events, links, detections, correlation windows and endpoints.
 
     ``engine_of`` is asked for each micro-batch, so a replaced ruleset is in force from the next one on.
     A micro-batch that is written again (after a failure) replaces its earlier rows: tables are keyed by its number.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        engine = engine_of()
-        rules = rule_table(batch.sparkSession, engine.ruleset)
-        rows = batch.withColumn("matched", engine.matched()).withColumn("event_id", F.xxhash64("event", F.lit(number))).withColumn("received_at", F.current_timestamp()).select("*", *[c.alias(n) for n, c in endpoint_columns(engine.fields).items()]).persist()
-        try:
-            store.put_batch("events", rows.select("event_id", "received_at", "endpoint_id", "event"), number)
-            hits = rows.select("event_id", "endpoint_id", F.col("received_at").alias("occurred_at"), F.explode("matched").alias("rule_id"), F.col("event").alias("context"))
-            store.put_batch("detections", detections(hits, rules).drop("rule_uid"), number)
-            store.put_batch("event_rules", event_rule_links(hits, rules).select("event_id", "rule_id"), number)
-            store.put_batch("endpoints", rows.where(F.col("endpoint_id") != "").select("endpoint_id", "host_name", "ip", "agent_version", F.col("received_at").alias("last_seen")), number)
-        finally:
-            rows.unpersist()
+        ingest_batch(store, engine_of(), batch, number)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
