@@ -7,8 +7,8 @@ neighbours compared word by word, and counted.
 
 Three passes over the texts:
 1. *frequent runs*: runs of M words that would load one bucket unevenly (a line that a third of all texts
-   have).  These never serve as minimisers; a window with no other run among the lower quarter of hashes has its own hash as
-   its key, so the windows of a hot passage are spread over all buckets.
+   have).  These never serve as minimisers.  They are counted among the lower quarter of hashes, from which nearly all minimisers come;
+   a window with none left there lies inside a hot passage, whose strings are equal and so travel once a batch.
 2. *count*: distinct super-k-mers of each batch, once each with whether they occurred again, compressed by
    bucket.  A bucket answers with the covered stretches of each super-k-mer that has repeated windows.
 3. *locate*: super-k-mers of each distinct text of a batch by a 128-bit hash, joined to the answers.
@@ -47,7 +47,7 @@ RUN = 256
 #: A run is counted from so many occurrences in a task's stretch of CHUNK_RUNS runs on; it is frequent from a share of a bucket.  One that
 #: is rarer everywhere occurs sqrt(limit * stretches) times at most or so, which loads no bucket.
 LOCAL, CHUNK_RUNS = 2, 1 << 23
-#: Hashes from which a run never serves as a minimiser.
+#: Hashes up to which runs are counted.
 UPPER = 1 << 62
 #: Frequent runs that are broadcast at most (8 bytes each); further ones cost balance, not results.
 FREQUENT = 1 << 20
@@ -81,7 +81,6 @@ class Windows:
         spans = Spans(w.hash)
         at = np.arange(n - M + 1)
         runs = mix(spans.get(at, at + M, 0) ^ U(0xA5A5A5A5))
-        runs[runs >= U(UPPER)] = U(0xFFFFFFFFFFFFFFFF)
         if len(frequent):
             pos = np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)
             runs[frequent[pos] == runs] = U(0xFFFFFFFFFFFFFFFF)
