@@ -46,6 +46,8 @@ HASHES = BANDS * ROWS
 AGREE = 0.64
 #: Nodes of one side of a block (on average), and their bytes.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Shingles that a task holds unpacked.
+LIVE = 200_000
 
 _RNG = np.random.RandomState(11)
 _A = (_RNG.randint(0, 1 << 62, HASHES).astype(U) << U(1)) | U(1)
@@ -144,25 +146,30 @@ def shingle_set(raw: bytes, size: int) -> set:
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
+class _Sets:
+    """Shingle sets by key, LIVE shingles and the two sets in use at most; the oldest go first and are made again if asked for."""
+
+    def __init__(self, size: int):
+        self.size, self.z, self.held, self.total = size, zstandard.ZstdDecompressor(), {}, 0
+
+    def get(self, key: bytes, packed: bytes) -> set:
+        s = self.held.get(key)
+        if s is None:
+            s = self.held[key] = shingle_set(self.z.decompress(packed), self.size)
+            self.total += len(s)
+            while self.total > LIVE and len(self.held) > 2:
+                self.total -= len(self.held.pop(next(iter(self.held))))
+        return s
+
+
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, recent = zstandard.ZstdDecompressor(), {}
-
-        def words(key: bytes, packed: bytes) -> set:
-            s = recent.get(key)
-            if s is None:
-                s = shingle_set(z.decompress(packed), size)
-                if len(s) < 20_000:
-                    if len(recent) > 200:
-                        recent.clear()
-                    recent[key] = s
-            return s
-
+        sets = _Sets(size)
         for b in batches:
             u, v = [], []
             for x, y, p, q in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
                 x, y = x.as_py(), y.as_py()
-                s, t = words(x, p.as_py()), words(y, q.as_py())
+                s, t = sets.get(x, p.as_py()), sets.get(y, q.as_py())
                 both = len(s & t)
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     u.append(x)
@@ -222,20 +229,7 @@ def _rest(size: int, percent: int):
         outside, inside = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
         which = table.column("which")[0].as_py()
         mi, byband = m[inside], m.reshape(-1, BANDS, ROWS)
-        z, sets, held = zstandard.ZstdDecompressor(), {}, 0
-
-        def words(i: int) -> set:
-            nonlocal held
-            s = sets.get(node[i])
-            if s is None:
-                s = shingle_set(z.decompress(packed[i]), size)
-                held += len(s)
-                if held > 1_000_000:
-                    sets.clear()
-                    held = len(s)
-                sets[node[i]] = s
-            return s
-
+        sets = _Sets(size)
         u, v = [], []
         for i in outside.tolist():
             agree = (mi == m[i]).sum(axis=1)
@@ -246,7 +240,7 @@ def _rest(size: int, percent: int):
                     continue
                 if np.flatnonzero((byband[i] == byband[j]).all(axis=1))[0] != which:
                     continue  # tested in the first band that the two share
-                s, t = words(i), words(j)
+                s, t = sets.get(node[i], packed[i]), sets.get(node[j], packed[j])
                 both = len(s & t)
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     u.append(node[i])
