@@ -14,7 +14,7 @@ import numpy as np
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts are worked on in pieces of about so many bytes; a longer text makes a piece of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
