@@ -34,7 +34,7 @@ CAPACITIES = (256, 512, 1024, 2048, 4096)
 BYTE_CAPACITIES = (1024, 2048, 4096, 8192, 16384)
 OVERHEAD = 8
 #: Pieces and tokens of a group (on average).
-GROUP, GROUP_TOKENS = 20_000, 8 << 20
+GROUP, GROUP_TOKENS = 20_000, 4 << 20
 
 
 class Rooms:
