@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import shared
+
 #: Entries of one generation of a worker's caches.
 CACHE_ENTRIES = 250_000
 #: Starts whose matches are held at a time within a very long piece.
@@ -209,7 +211,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
                 got = pa.array([c.encode(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(f.name)) for f in fields] + [got], names=[f.name for f in fields] + [ids])
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return shared.mapped(df, run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -228,4 +230,4 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
-    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, schema)
+    return shared.mapped(docs.select(docs["doc_id"], docs["text"]), run, schema)

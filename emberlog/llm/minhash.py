@@ -123,7 +123,7 @@ def _sign(size: int):
 def signatures(rows: DataFrame, size: int) -> DataFrame:
     """rows(row_key, text) to row_key, the set's key and size; minima and packed text with its first row in an Arrow batch."""
     schema = T.StructType([rows.schema["row_key"], *T.StructType.fromDDL(SIGNED).fields])
-    return rows.select("row_key", "text").mapInArrow(_sign(size), schema)
+    return shared.mapped(rows.select("row_key", "text"), _sign(size), schema)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspa
     """signed rows to (node, root) of all sets that link with another."""
     full = signed.where(F.col("minima").isNotNull())
     nodes = work.keep(full.select("set_key", "minima", F.length("ztext").alias("zlen")).dropDuplicates(["set_key"]))
-    banded = nodes.mapInArrow(_bands, "band long, which tinyint, node binary, zlen int")
+    banded = shared.mapped(nodes, _bands, "band long, which tinyint, node binary, zlen int")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where(F.col("n") > 1)
     members = work.keep(banded.join(sizes.select("band", "centre"), "band").select("band", "which", "node", "zlen", "centre"))
     near = members.select("node").distinct()
@@ -282,12 +282,12 @@ def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspa
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("set_key").alias("u"), F.col("ztext").alias("tu"))
         b = texts.select(F.col("set_key").alias("v"), F.col("ztext").alias("tv"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(_verify(size, percent), "u binary, v binary")
+        return shared.mapped(pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv"), _verify(size, percent), "u binary, v binary")
 
     stars = members.where(F.col("node") != F.col("centre")).select("node", "centre").distinct()
     mine = nodes.select(F.col("set_key").alias("node"), F.col("minima").alias("m"))
     theirs = nodes.select(F.col("set_key").alias("centre"), F.col("minima").alias("c"))
-    judged = stars.join(mine, "node").join(theirs, "centre").select("node", "centre", "m", "c").mapInArrow(_agreement, "node binary, centre binary, agree int")
+    judged = shared.mapped(stars.join(mine, "node").join(theirs, "centre").select("node", "centre", "m", "c"), _agreement, "node binary, centre binary, agree int")
     best = judged.where(F.col("agree") >= AGREE * HASHES).groupBy("node").agg(F.max(F.struct("agree", "centre")).alias("b")).select(F.col("node").alias("u"), F.col("b.centre").alias("v"))
     links = work.keep(confirmed(best))
     # labels that only serve to leave out tests needn't be final
@@ -297,10 +297,10 @@ def linked_sets(signed: DataFrame, size: int, percent: int, work: shared.Workspa
     labelled = work.keep(members.join(first, "node", "left").select("band", "which", "node", "zlen", F.coalesce("root", "node").alias("comp")))
     groups = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("zlen") + F.lit(4 * HASHES)).alias("bytes"))
     dealt = deal(labelled, groups).join(nodes.select(F.col("set_key").alias("node"), "minima"), "node")
-    marked = work.keep(dealt.groupBy("band", "i", "j").applyInArrow(_promising, "band long, i int, j int, which tinyint, node binary, comp binary, place int"))
+    marked = work.keep(dealt.groupBy("band", "i", "j").applyInArrow(shared.grouped(_promising), "band long, i int, j int, which tinyint, node binary, comp binary, place int"))
     payload = nodes.select(F.col("set_key").alias("node"), "minima").join(texts.withColumnRenamed("set_key", "node"), "node")
     doubtful = marked.join(payload, "node").select("band", "i", "j", "which", "node", "comp", "minima", "ztext", "place")
-    more = work.keep(doubtful.groupBy("band", "i", "j").applyInArrow(_rest(size, percent), "u binary, v binary").distinct())
+    more = work.keep(doubtful.groupBy("band", "i", "j").applyInArrow(shared.grouped(_rest(size, percent)), "u binary, v binary").distinct())
     roots = work.keep(components(joined.unionByName(more), work))
     for used in (nodes, members, texts, links, joined, labelled, marked, more):
         work.drop(used)

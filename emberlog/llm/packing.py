@@ -181,7 +181,7 @@ def pack_sequences(docs: DataFrame, tokens: Column, capacities: tuple[int, ...]
         return pa.table({"bin": pa.array(number, pa.int64()), "capacity": pa.array(sizes, pa.int64()), "length": pa.array(np.diff(at), pa.int64()), "doc_ids": pa.ListArray.from_arrays(bounds, ids), "pieces": pa.ListArray.from_arrays(bounds, parts), "tokens": toks})
 
     dealt = real.withColumn("group", F.pmod(F.xxhash64("n"), F.lit(groups)))
-    bins = dealt.groupBy("group").applyInArrow(run, schema)
+    bins = dealt.groupBy("group").applyInArrow(shared.grouped(run), schema)
     one = F.struct("doc_id", "piece", "start", F.lit(0).cast("long").alias("offset"), "length")
     none = cut.where(F.col("length") == 0).select(F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("capacity"), F.lit(0).cast("long").alias("length"), F.array("doc_id").alias("doc_ids"), F.array(one).alias("pieces"), "tokens")
     return bins.unionByName(none)

@@ -6,11 +6,18 @@ process (local tests) a temporary folder takes its place; on a cluster its absen
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+#: An Arrow batch's rows and bytes at most.  The JVM and the Python worker each hold a batch whole, and copies of it.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +70,48 @@ class Workspace:
         fs.delete(path, True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and what they keep adds up over a session."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with bounded batches; each task gives its memory back.
+
+    The session's bound of rows is lowered where it is higher, that of bytes set where there is none; both stay so, as plans are
+    made only when results are read.
+    """
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    conf = df.sparkSession.conf
+    rows, size = (f"spark.sql.execution.arrow.{x}PerBatch" for x in ("maxRecords", "maxBytes"))
+    if not 0 < int(conf.get(rows, "0")) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if conf.get(size, None) is None:
+        conf.set(size, str(BATCH_BYTES))
+    return df.mapInArrow(lean, schema)
+
+
+def grouped(run: Callable) -> Callable:
+    """A function of (key, table) for ``applyInArrow`` that gives its memory back after each group."""
+
+    def lean(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return run(key, table)
+        finally:
+            release()
+
+    return lean
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -296,14 +296,14 @@ def covered(texts: DataFrame, work: shared.Workspace) -> DataFrame:
     buckets = max(shared.partitions(spark), int(n_bytes * EXPANSION / BUCKET_BYTES) + 1)
     # super-k-mers are about 16 windows, 100 bytes of text; a run that alone fills a quarter of a bucket is frequent
     limit = max(16, int(n_bytes / 100 / buckets / 4))
-    counts = texts.select("text").mapInArrow(_frequent, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    counts = shared.mapped(texts.select("text"), _frequent, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= limit).orderBy(F.desc("n"), "v").limit(FREQUENT).select("v").toPandas()["v"]
     frequent = spark.sparkContext.broadcast(np.sort(top.to_numpy(np.int64).view(U)))
-    packed = texts.select("text").mapInArrow(_pack(frequent, buckets), "bucket long, packed binary")
-    answers = work.keep(packed.groupBy("bucket").applyInArrow(_count, "k1 long, k2 long, ranges array<int>"))
+    packed = shared.mapped(texts.select("text"), _pack(frequent, buckets), "bucket long, packed binary")
+    answers = work.keep(packed.groupBy("bucket").applyInArrow(shared.grouped(_count), "k1 long, k2 long, ranges array<int>"))
     answered = spark.sparkContext.broadcast(Bits(answers.count(), MOST_BITS).array(answers, "k1"))
     # a run cut at RUN may stand in several buckets' strings only if equal, hence once; long keys are split by Spark
-    places = texts.select("text").mapInArrow(_locate(frequent, answered), "k1 long, k2 long, t1 long, t2 long, pos int")
+    places = shared.mapped(texts.select("text"), _locate(frequent, answered), "k1 long, k2 long, t1 long, t2 long, pos int")
     hits = places.join(answers, ["k1", "k2"])
     flat = hits.select("t1", "t2", F.transform("ranges", lambda x: x + F.col("pos")).alias("r"))
     return work.keep(flat.groupBy("t1", "t2").agg(F.flatten(F.collect_set("r")).alias("ranges")))  # bounded by one text's length
@@ -362,5 +362,5 @@ def remove_repeats(docs: DataFrame, columns: list[str], name: str = "substrings"
                 cols = [part.column(part.schema.get_field_index(c)) for c in passed] + [part.column(part.schema.get_field_index("text"))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], names=[*passed, "text", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    out = joined.mapInArrow(rewrite, schema)
+    out = shared.mapped(joined, rewrite, schema)
     return out.select(*[(F.col("text") if c == "text" else F.col(f"c{own.index(c)}")).alias(c) for c in columns], *[F.col(r).alias(x) for r, x in zip(RESULTS, results, strict=True)])

@@ -306,5 +306,5 @@ def score(docs: DataFrame, model, columns: list[str], names: tuple[str, str] = (
                 s = np.full(len(texts), net) if isinstance(net, float) else score_texts(net, texts)
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], names=[*b.schema.names[1:], "score"])
 
-    out = rows.mapInArrow(run, schema)
+    out = shared.mapped(rows, run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("score").alias(names[0]), (F.col("score") >= 0.5).cast("int").alias(names[1]))

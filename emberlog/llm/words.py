@@ -15,6 +15,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts are worked on in pieces of about so many bytes; a longer text makes a piece of its own.
 CHUNK_BYTES = 1 << 19
+KEPT = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -45,11 +46,15 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class _Powers:
+    """Powers of a base and of its inverse; only the first KEPT are held from call to call."""
+
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.empty(0, U)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > KEPT:
+            return powers(self.base, n), powers(self.inverse, n)
         if len(self.up) < n:
             self.up, self.down = powers(self.base, n), powers(self.inverse, n)
         return self.up, self.down
