@@ -101,13 +101,14 @@ def mapped(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFram
 
 
 def grouped(run: Callable) -> Callable:
-    """A function of (key, table) for ``applyInArrow`` that gives its memory back after each group."""
+    """A function of (key, table) for ``applyInArrow`` that gives its memory back after each group beyond a megabyte."""
 
     def lean(key: tuple, table: pa.Table) -> pa.Table:
         try:
             return run(key, table)
         finally:
-            release()
+            if table.nbytes > 1 << 20:
+                release()
 
     return lean
 
